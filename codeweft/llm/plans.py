@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeweft.llm import leakage, packing
+from codeweft.llm import docpairs, leakage, packing
 from codeweft.sources.tables import table
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["id", "repo_id", "qualified_name", "file_path", "docstring", "observed_at"]
+    nodes = table(spark, d, "function_node").select(*cols).unionByName(table(spark, d, "method_node").select(*cols))
+    return docpairs.documented_pairs(nodes, table(spark, d, "parse_result"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("entity_id")
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).where(F.col("source").isNotNull())
+
+
+def p5_doc_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Code-description pairs straight from the files, JavaScript too."""
+    says = F.pandas_udf(docpairs.informative_batch, "boolean")
+    return docpairs.extract_functions(table(spark, d, "parse_result")).where(says("doc", "qualified_name", "params")).select("repo_id", "file_path", "qualified_name", "source", "doc")
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
@@ -28,5 +48,5 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(_leaks(spark, d))
 
 
-QUERIES = {"p7_packing": p7_packing, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report}
+QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p5_doc_comments": p5_doc_comments, "p7_packing": p7_packing, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report}
 ORACLES: dict[str, str] = {}
