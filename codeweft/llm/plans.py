@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeweft.llm import docpairs, leakage, packing
+from codeweft.llm import docpairs, leakage, packing, personal
 from codeweft.sources.tables import table
 
 
@@ -48,5 +48,14 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(_leaks(spark, d))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p5_doc_comments": p5_doc_comments, "p7_packing": p7_packing, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_personal(table(spark, d, "documents")).select("doc_id", "pii_kind", "found_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return personal.redact(docs, personal.find_personal(docs))
+
+
+QUERIES = {"p9_found": p9_found, "p9_redacted": p9_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_doc_comments": p5_doc_comments, "p7_packing": p7_packing, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report}
 ORACLES: dict[str, str] = {}
