@@ -22,7 +22,9 @@ from codeweft.sources.tables import cut_lineage
 #: Share of a term's occurrences that lie in e-mail addresses from which on the term names a person.
 TERM_DISCLOSURE = 0.08
 #: Share of a context's candidates that are beyond doubt from which on the context reveals the others.
-CONTEXT_DISCLOSURE = 0.3
+CONTEXT_DISCLOSURE = 0.15
+#: Share of a word's occurrences in lower case up to which it can be a family name told by context only.
+COMMON_WORD = 0.2
 #: Bits of information two capital words must carry to be a name by context only: -log2 of the share of documents that hold the pair.
 PAIR_BITS = 7.0
 
@@ -55,23 +57,24 @@ ID_NUMBER = re.compile(
 ID_WEAK = re.compile(r"(?<![\w.+/-])(?:\d{9}|\d{11})(?![\w])(?![.\-/]\d)")
 
 # Kinds of streets.
-_STREET = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Boulevard|Blvd\.?|Avenue|Ave\.?|Way|Place|Pl\.?|Close|Terrace|Square|Crescent|Row|Hill|Gardens?|Walk|Parkway|Alley)"
+_STREET = r"(?i:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Boulevard|Blvd\.?|Avenue|Ave\.?|Way|Place|Pl\.?|Close|Terrace|Square|Crescent|Row|Hill|Gardens?|Walk|Parkway|Alley)"
 _CAP = r"(?:[A-ZÀ-Þ][\w'’-]*)"
 _POST = r"(?:[A-Z]{1,2} \d{4,5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}|\d{4,5}(?:-\d{3,4})?)"
-_UNIT = r"(?:(?:Apt|Apartment|Unit|Suite|Ste|Room|Floor)\.? ?#?\d+[A-Za-z]?|#\d+)"
+_UNIT = r"(?:(?i:Apt|Apartment|Unit|Suite|Ste|Room|Floor)\.? ?#?\d+[A-Za-z]?|#\d+)"
 _SEP = r"(?:,[ \t]*\n?[ \t]*|[ \t]*\n[ \t]*)"
+# A town after its postal code ends with its first word: what follows may be the next sentence.
+_TOWN = rf"(?:(?i:Bad|Sankt|St\.|Saint|Sainte|San|Santa|Los|Las|La|Le|Les|New|Villa|Castel) )?{_CAP}"
 ADDRESS = re.compile(
     r"(?<![\w.])(?:"
     # Flat 17, 444 Larch Road, Quenstead, QV6 6ZX; 803 Pewter Drive, Apt 25, Pellworth, ZQ 27719
-    rf"(?:(?:Flat|Apartment|Apt\.?|Unit|Suite|Room) \d+[A-Za-z]?{_SEP})?\d{{1,5}}[A-Za-z]? {_CAP}(?: {_CAP}){{0,2}} {_STREET}(?:{_SEP}{_UNIT})?{_SEP}{_CAP}(?: {_CAP}){{0,2}}(?:{_SEP}| ){_POST}"
+    rf"(?:(?i:Flat|Apartment|Apt\.?|Unit|Suite|Room) \d+[A-Za-z]?{_SEP})?\d{{1,5}}[A-Za-z]? {_CAP}(?: {_CAP}){{0,2}} {_STREET}(?:{_SEP}{_UNIT})?{_SEP}{_CAP}(?: {_CAP}){{0,2}}(?:{_SEP}| ){_POST}"
     # 576, rue du Heron, 36268 Saintmere
-    rf"|\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai)(?: (?:de|du|des|la|le|les|l'))*[ ']{_CAP}(?: {_CAP}){{0,2}}{_SEP}{_POST} {_CAP}(?:[ -]{_CAP}){{0,2}}"
+    rf"|\d{{1,4}}(?: ?(?i:bis|ter))?,? (?i:rue|avenue|boulevard|place|chemin|allée|impasse|quai)(?: (?i:de|du|des|la|le|les|l'))*[ ']{_CAP}(?: {_CAP}){{0,2}}{_SEP}{_POST} {_TOWN}"
     # Calle Cobbler 71, 79417 Castelvento
-    rf"|(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Rua|Via|Viale|Piazza|Corso|Travessa|Praça)(?: (?:de|del|della|dei|da|do|dos|la|las|los|el))* {_CAP}(?: {_CAP}){{0,2}},? \d{{1,4}}[A-Za-z]?{_SEP}{_POST} {_CAP}(?:[ -]{_CAP}){{0,2}}"
+    rf"|(?i:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Rua|Via|Viale|Piazza|Corso|Travessa|Praça)(?: (?i:de|del|della|dei|da|do|dos|la|las|los|el))* {_CAP}(?: {_CAP}){{0,2}},? \d{{1,4}}[A-Za-z]?{_SEP}{_POST} {_TOWN}"
     # Alderstraße 477, 67569 Lowfen
-    rf"|(?:[A-ZÀ-Þ][\wÀ-ɏ-]*(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|ring|damm|laan|straat)|{_CAP}[ -](?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee)) \d{{1,4}}[A-Za-z]?{_SEP}{_POST} {_CAP}(?:[ -]{_CAP}){{0,2}}"
-    r")(?![\w])",
-    re.I,
+    rf"|(?:[A-ZÀ-Þ][\wÀ-ɏ-]*(?i:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|ring|damm|laan|straat)|{_CAP}[ -](?i:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee)) \d{{1,4}}[A-Za-z]?{_SEP}{_POST} {_TOWN}"
+    r")(?![\w])"
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -99,8 +102,6 @@ def shaped(text: str) -> list[tuple[int, int, str, bool]]:
             s, e = m.span()
             if kind == "phone" and not 8 <= _digits(m.group()) <= 15:
                 continue
-            if kind == "address" and not any(c.isupper() for c in m.group()):
-                continue
             if kind == "email" and "@" not in m.group() and not re.search(r"[^\w][dD][oO][tT][^\w]|\.\]|\.\)", m.group()):
                 continue
             if all(e <= a or b <= s for a, b, *_ in taken):
@@ -128,6 +129,14 @@ def _left(text: str, at: int) -> tuple[str, str]:
     return toks[-1] if len(toks) > 1 else "^", " ".join(toks[-2:])
 
 
+def _right(text: str, at: int) -> str:
+    """The two tokens after ``at`` in its line, or <mail> if an address follows at once."""
+    after = text[at : at + 60].split("\n", 1)[0]
+    if re.match(r"[ \t]*[,(<]?[ \t]*", after) and EMAIL.match(text, at + re.match(r"[ \t]*[,(<\[]?[ \t]*", after).end()):
+        return "<mail>"
+    return " ".join(re.findall(r"[\w'’-]+|[^\w\s]", re.sub(r"\d", "0", after.lower()))[:2]) or "$"
+
+
 def name_pairs(text: str, taken: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str, str]]:
     """(start, end, given, family) of every run of words shaped like a personal name, overlapping ones too.
 
@@ -182,7 +191,7 @@ def _family_terms(family: str) -> list[str]:
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["doc_id", "kind", "start", "stop", "found_text", "given", "family", "left1", "left2", "sure"]
+    cols = ["doc_id", "kind", "start", "stop", "found_text", "given", "family", "left1", "left2", "right2", "sure"]
     for b in batches:
         rows = []
         for doc, text in zip(b["doc_id"], b["_text"]):
@@ -190,16 +199,16 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             taken = shaped(text)
             for s, e, kind, sure in taken:
-                rows.append((doc, kind, s, e, text[s:e], None, None, *_left(text, s), sure))
+                rows.append((doc, kind, s, e, text[s:e], None, None, *_left(text, s), _right(text, e), sure))
             for s, e, given, family in name_pairs(text, taken):
-                rows.append((doc, "person_name", s, e, text[s:e], fold(given.split("-")[0]), _family_terms(family)[0], *_left(text, s), False))
+                rows.append((doc, "person_name", s, e, text[s:e], fold(given.split("-")[0]), _family_terms(family)[0], *_left(text, s), _right(text, e), False))
         yield pd.DataFrame(rows, columns=cols)
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts (term, n_text, n_mail) of each batch."""
+    """Partial counts (term, n_text, n_lower, n_mail) of each batch."""
     for b in batches:
-        words, mails = Counter(), Counter()
+        words, lower, mails = Counter(), Counter(), Counter()
         for text in b["_text"]:
             if not text:
                 continue
@@ -208,9 +217,11 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mails.update(mail_terms(text[s:e]))
             for s, e in reversed(spans):
                 text = text[:s] + " " + text[e:]
-            words.update(_WORD.findall(fold(text)))
+            found = _WORD.findall(text)
+            words.update(map(fold, found))
+            lower.update(fold(w) for w in found if w.islower())
         terms = list(words.keys() | mails.keys())
-        yield pd.DataFrame({"term": terms, "n_text": [words[t] for t in terms], "n_mail": [mails[t] for t in terms]})
+        yield pd.DataFrame({"term": terms, "n_text": [words[t] for t in terms], "n_lower": [lower[t] for t in terms], "n_mail": [mails[t] for t in terms]})
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
@@ -223,40 +234,45 @@ def find_personal(docs: DataFrame) -> DataFrame:
     """
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"))
     terms = (
-        src.select("_text").mapInPandas(_term_counts, "term string, n_text bigint, n_mail bigint")
-        .groupBy("term").agg(F.sum("n_text").alias("n_text"), F.sum("n_mail").alias("n_mail"))
-        .where("n_mail > 0").select("term", (F.col("n_mail") / (F.col("n_text") + F.col("n_mail"))).alias("share"))
+        src.select("_text").mapInPandas(_term_counts, "term string, n_text bigint, n_lower bigint, n_mail bigint")
+        .groupBy("term").agg(F.sum("n_text").alias("n_text"), F.sum("n_lower").alias("n_lower"), F.sum("n_mail").alias("n_mail"))
+        .select("term", (F.col("n_mail") / (F.col("n_text") + F.col("n_mail"))).alias("share"), (F.col("n_lower") / F.greatest("n_text", F.lit(1))).alias("lower"))
     )
-    schema = "doc_id bigint, kind string, start bigint, stop bigint, found_text string, given string, family string, left1 string, left2 string, sure boolean"
+    schema = "doc_id bigint, kind string, start bigint, stop bigint, found_text string, given string, family string, left1 string, left2 string, right2 string, sure boolean"
     cand = src.mapInPandas(_candidates, schema)
-    g = terms.select(F.col("term").alias("given"), F.col("share").alias("g"))
-    f = terms.select(F.col("term").alias("family"), F.col("share").alias("f"))
+    g = terms.where(f"share > 0 OR lower <= {COMMON_WORD}").select(F.col("term").alias("given"), F.col("share").alias("g"))
+    f = terms.where(f"share > 0 OR lower <= {COMMON_WORD}").select(F.col("term").alias("family"), F.col("share").alias("f"), F.col("lower"))
+    none = F.lit(0.0)
     cand = (
         cand.join(g, "given", "left").join(f, "family", "left")
-        .withColumns({"g": F.coalesce("g", F.lit(0.0)), "f": F.coalesce("f", F.lit(0.0))})
-        .withColumn("sure", F.col("sure") | ((F.col("kind") == "person_name") & (F.col("f") >= TERM_DISCLOSURE) & (F.col("g") > 0) & (F.col("found_text") != F.lower("found_text"))))
+        .withColumns({"proper": F.coalesce(F.col("lower") <= COMMON_WORD, F.lit(False)) & F.col("g").isNotNull()})
+        .withColumns({"g": F.coalesce("g", none), "f": F.coalesce("f", none)})
     )
-    cand = cut_lineage(cand)
+    person = F.col("kind") == "person_name"
+    known = person & F.col("proper") & (((F.col("f") >= TERM_DISCLOSURE) & (F.col("g") > 0)) | (F.col("right2") == "<mail>"))
+    # Words that differ but in case from running text are no names; both parts in lower case never get here.
+    cand = cut_lineage(cand.withColumn("sure", F.col("sure") | known))
     n_docs = docs.count()
-    pair = cand.where("kind = 'person_name'").groupBy("given", "family").agg(F.count_distinct("doc_id").alias("df"))
-
-    def context(col: str) -> DataFrame:
-        per = cand.groupBy("kind", col).agg(F.sum(F.col("sure").cast("long")).alias("n_sure"), F.count(F.lit(1)).alias("n"))
-        return per.where("n_sure >= 2").select("kind", col, (F.col("n_sure") / F.col("n")).alias(f"{col}_share"))
-
-    scored = (
-        cand.join(context("left1"), ["kind", "left1"], "left").join(context("left2"), ["kind", "left2"], "left").join(pair, ["given", "family"], "left")
-        .withColumn("ctx", F.greatest(F.coalesce("left1_share", F.lit(0.0)), F.coalesce("left2_share", F.lit(0.0))))
-        .withColumn("bits", F.coalesce(-F.log2(F.col("df") / F.lit(float(max(n_docs, 1)))), F.lit(0.0)))
-    )
-    reveals = (
-        F.col("sure")
-        | ((F.col("kind") != "person_name") & (F.col("ctx") >= CONTEXT_DISCLOSURE))
-        | ((F.col("kind") == "person_name") & (F.col("ctx") >= CONTEXT_DISCLOSURE) & (F.col("bits") >= PAIR_BITS) & ((F.col("f") >= TERM_DISCLOSURE) | (F.col("g") >= TERM_DISCLOSURE)))
-    )
-    weight = F.when(F.col("kind") != "person_name", F.lit(9.0)).otherwise(F.col("f") + F.col("g") + F.col("ctx") + F.when(F.col("sure"), 1).otherwise(0) + F.length("found_text") / 1000)
+    pair = cand.where(person).groupBy("given", "family").agg(F.count_distinct("doc_id").alias("df"))
+    cand = cand.join(pair, ["given", "family"], "left").withColumn("bits", F.coalesce(-F.log2(F.col("df") / F.lit(float(max(n_docs, 1)))), none))
+
+    def with_context(c: DataFrame) -> DataFrame:
+        c = c.drop("ctx")
+        for col in ("left1", "left2", "right2"):
+            per = c.groupBy("kind", col).agg(F.sum(F.col("sure").cast("long")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+            per = per.where("_s > 0").select("kind", col, (F.col("_s") / (F.col("_n") + 1)).alias(f"_{col}"))
+            c = c.join(per, ["kind", col], "left")
+        c = c.withColumn("ctx", F.greatest(*[F.coalesce(F.col(f"_{x}"), none) for x in ("left1", "left2", "right2")]))
+        return c.drop("_left1", "_left2", "_right2")
+
+    told = (F.col("ctx") >= CONTEXT_DISCLOSURE) & (~person | (F.col("proper") & (F.col("bits") >= PAIR_BITS)))
+    # Contexts of what is beyond doubt reveal more, and the contexts of that yet more.
+    for _ in range(2):
+        cand = cut_lineage(with_context(cand).withColumn("sure", F.col("sure") | told))
+    scored = with_context(cand)
+    weight = F.when(~person, F.lit(9.0)).otherwise(F.col("f") + F.col("g") + F.col("ctx") + F.length("found_text") / 1000)
     # The accepted candidates of one document only: a few per text.
-    per_doc = scored.where(reveals).groupBy("doc_id").agg(F.collect_list(F.struct(weight.alias("w"), "start", "stop", "kind", "found_text")).alias("c"))
+    per_doc = scored.where(F.col("sure") | told).groupBy("doc_id").agg(F.collect_list(F.struct(weight.alias("w"), "start", "stop", "kind", "found_text")).alias("c"))
     pick = F.pandas_udf(_pick, "array<struct<kind:string,start:bigint,stop:bigint,found_text:string>>")
     return per_doc.select("doc_id", F.explode(pick("c")).alias("p")).select("doc_id", F.col("p.kind").alias("pii_kind"), "p.start", "p.stop", "p.found_text")
 
