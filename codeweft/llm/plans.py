@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeweft.llm import docpairs, leakage, packing, personal
+from codeweft.llm import docpairs, leakage, packing, personal, provenance
 from codeweft.sources.tables import table
 
 
@@ -28,6 +28,14 @@ def p5_doc_comments(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.extract_functions(table(spark, d, "parse_result")).where(says("doc", "qualified_name", "params")).select("repo_id", "file_path", "qualified_name", "source", "doc")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_by_hand(table(spark, d, "parse_result"), table(spark, d, "upstream_file")).select("repo_id", "file_path")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.provenance_report(table(spark, d, "parse_result"), table(spark, d, "upstream_file"))
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
@@ -57,5 +65,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact(docs, personal.find_personal(docs))
 
 
-QUERIES = {"p9_found": p9_found, "p9_redacted": p9_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_doc_comments": p5_doc_comments, "p7_packing": p7_packing, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report}
+QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p9_found": p9_found, "p9_redacted": p9_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_doc_comments": p5_doc_comments, "p7_packing": p7_packing, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report}
 ORACLES: dict[str, str] = {}
