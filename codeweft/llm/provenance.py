@@ -126,7 +126,7 @@ def evidence(text: str) -> str | None:
         return "minified" if keywords * 1000 >= 1.0 * n or letters > 0.1 * n else "data"
     shapes = Counter(_BLANK.sub("", _NAME.sub("N", _NUMBER.sub("0", x))) for x in code.split("\n") if x.strip())
     total = sum(shapes.values())
-    if total >= 12 and sum(k for _, k in shapes.most_common(3)) >= 0.6 * total:  # the same few lines over and over
+    if total >= 12 and len(shapes) <= 0.25 * total and sum(k for _, k in shapes.most_common(3)) >= 0.6 * total:  # the same few lines over and over
         return "generated"
     if len(_STUB.findall(text)) >= 3:
         return "generated"
