@@ -127,7 +127,7 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         .select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diag"))
         .groupBy("doc_id", "item_id").agg(F.collect_set("diag").alias("diagonals"))
     )
-    run = F.pandas_udf(_verify, "bigint")
+    run = F.pandas_udf(_verify, "bigint").asNondeterministic()  # evaluated once, not for the filter and the result each
     texts = docs.select("doc_id", F.col("text").alias("_doc")).join(cand, "doc_id")
     full = texts.join(items.select("item_id", F.col("text").alias("_item")), "item_id")
     return full.select("doc_id", "item_id", run("_doc", "_item", "diagonals").alias("run_words")).where(F.col("run_words") >= RUN_WORDS)
