@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, functions as F
 from codeweft.llm.sources import keep_current, revisions
 
 _PY_LEX = re.compile(r"(?P<s>(?:\b[rRbBuUfFtT]{1,2})?(?:'''(?:\\.|[^\\])*?(?:'''|\Z)|\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?))|#[^\n]*", re.S)
-_JS_LEX = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?|`(?:\\.|[^`\\])*`?|(?<=[=(,:\[!&|?{};\n])[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/", re.S)
+_JS_LEX = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?|`(?:\\.|[^`\\])*`?|(?:(?<=[=(,:\[!&|?{};\n])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase))[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/", re.S)
 _PY_DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)", re.M)
 _PY_SIGN = re.compile(r"[()\[\]{}:\n]")
 _PY_LINE = re.compile(r"\n([ \t]*)[^\s\x01]")
-_PY_DOC = re.compile(r"[ \t]*(?:\n\s*(?:#[^\n]*\n\s*)*)?[rRuU]?('''|\"\"\"|'|\")((?:\\.|[^\\])*?)\1", re.S)
+_PY_DOC = re.compile(r"[ \t]*(?:#[^\n]*)?(?:\n\s*(?:#[^\n]*\n\s*)*)?[rRuU]?('''|\"\"\"|'|\")((?:\\.|[^\\])*?)\1", re.S)
 _JS_DEF = re.compile(r"(?:(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)\s*\(|(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>\s*\{|^[ \t]+(?:static\s+|async\s+|get\s+|set\s+)*(\w+)\s*\([^()]*\)\s*\{|\bclass\s+(\w+)[^{;]*\{)", re.M)
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "function", "return", "with"}
 _KEEP_LINES = re.compile(r"[^\n]")
@@ -56,7 +56,8 @@ def module_name(path: str) -> str:
 def python_functions(path: str, text: str) -> list[tuple[str, str, str, str | None]]:
     """(qualified name, source, parameters, documentation) of every def, nested ones too."""
     text = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    masked = _blank(_PY_LEX, text, "\x01")  # a blanked string is no blank line
+    # a blanked string is no blank line, a comment is one
+    masked = _PY_LEX.sub(lambda m: _KEEP_LINES.sub(" " if m.group()[0] == "#" else "\x01", m.group()), text)
     out, scope, base = [], [], module_name(path)
     for m in _PY_DEF.finditer(masked):
         indent, kind, name = len(m.group(1).expandtabs()), m.group(2), m.group(3)
@@ -90,7 +91,8 @@ def python_functions(path: str, text: str) -> list[tuple[str, str, str, str | No
             above = _lines_above(text, m.start(), "@", "#")
             if above:
                 doc = re.sub(r"(?m)^[ \t]*#:?[ \t]?", "", above).strip() or None
-        out.append((qual, text[m.start() : end].rstrip(), params, doc))
+        end = m.start() + len(masked[m.start() : end].rstrip())  # without the comments of what follows
+        out.append((qual, text[m.start() : end], params, doc))
     return out
 
 

@@ -27,6 +27,8 @@ CONTEXT_DISCLOSURE = 0.15
 COMMON_WORD = 0.2
 #: Bits of information two capital words must carry to be a name by context only: -log2 of the share of documents that hold the pair.
 PAIR_BITS = 7.0
+#: … or this many documents at most, which in a small corpus are few bits.
+RARE_PAIR = 2
 
 _AT = r"(?:[ \t]*(?:\[at\]|\(at\)|\{at\}|<at>|\(a\)|\[a\])[ \t]*|[ \t]+(?:at|AT|At)[ \t]+)"
 _DOT = r"(?:[ \t]*(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\[\.\]|\(\.\))[ \t]*|[ \t]+(?:dot|DOT|Dot)[ \t]+)"
@@ -265,7 +267,8 @@ def find_personal(docs: DataFrame) -> DataFrame:
         c = c.withColumn("ctx", F.greatest(*[F.coalesce(F.col(f"_{x}"), none) for x in ("left1", "left2", "right2")]))
         return c.drop("_left1", "_left2", "_right2")
 
-    told = (F.col("ctx") >= CONTEXT_DISCLOSURE) & (~person | (F.col("proper") & (F.col("bits") >= PAIR_BITS)))
+    rare = (F.col("bits") >= PAIR_BITS) | (F.col("df") <= RARE_PAIR)
+    told = (F.col("ctx") >= CONTEXT_DISCLOSURE) & (~person | (F.col("proper") & rare))
     # Contexts of what is beyond doubt reveal more, and the contexts of that yet more.
     for _ in range(2):
         cand = cut_lineage(with_context(cand).withColumn("sure", F.col("sure") | told))

@@ -143,6 +143,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({
             "repo_id": b["repo_id"], "file_path": b["file_path"], "parsed_at": b["parsed_at"], "h": b["h"],
             "evidence": [evidence(t) for t in b["content"]], "lines": [line_hashes(t) for t in b["content"]],
+            "filled": [not t.isspace() and bool(t) for t in b["content"]],
         })
 
 
@@ -260,12 +261,12 @@ def not_by_hand(files: DataFrame, upstream: DataFrame) -> DataFrame:
     Empty tables: no rows; an empty upstream table only leaves out its copies.
     """
     src = revisions(files).where(F.col("lang").isin("python", "javascript")).withColumn("parsed_at", F.col("parsed_at").cast("timestamp_ntz"))
-    schema = "repo_id string, file_path string, parsed_at timestamp_ntz, h bigint, evidence string, lines array<bigint>"
+    schema = "repo_id string, file_path string, parsed_at timestamp_ntz, h bigint, evidence string, lines array<bigint>, filled boolean"
     feats = cut_lineage(keep_current(src.mapInPandas(_features, schema)))
     copies = cut_lineage(upstream_copies(feats, files, upstream))
     said = declared(feats.select("repo_id", "file_path"), files)
     seen = (
-        feats.select("repo_id", "file_path", "evidence", (F.size("lines") > 0).alias("filled"))
+        feats.select("repo_id", "file_path", "evidence", "filled")
         .join(copies.withColumn("copy", F.lit(True)), ["repo_id", "file_path"], "left")
         .withColumn("shown", F.coalesce(F.when(F.col("copy"), "upstream"), "evidence"))
     )
