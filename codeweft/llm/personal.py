@@ -21,6 +21,8 @@ from codeweft.sources.tables import cut_lineage
 
 #: Share of a term's occurrences that lie in e-mail addresses from which on the term names a person.
 TERM_DISCLOSURE = 0.08
+#: Share from which on a given name reveals the rare proper word after it without any context.
+GIVEN_CERTAIN = 0.3
 #: Share of a context's candidates that are beyond doubt from which on the context reveals the others.
 CONTEXT_DISCLOSURE = 0.15
 #: Share of a word's occurrences in lower case up to which it can be a family name told by context only.
@@ -268,7 +270,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
         return c.drop("_left1", "_left2", "_right2")
 
     rare = (F.col("bits") >= PAIR_BITS) | (F.col("df") <= RARE_PAIR)
-    told = (F.col("ctx") >= CONTEXT_DISCLOSURE) & (~person | (F.col("proper") & rare))
+    told = ((F.col("ctx") >= CONTEXT_DISCLOSURE) & (~person | (F.col("proper") & rare))) | (person & (F.col("g") >= GIVEN_CERTAIN) & F.col("proper") & rare)
     # Contexts of what is beyond doubt reveal more, and the contexts of that yet more.
     for _ in range(2):
         cand = cut_lineage(with_context(cand).withColumn("sure", F.col("sure") | told))
