@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: The filter has at most this many 64-bit words, whatever the data: 16 MB of rows when broadcast.
+#: The filter has at most this many 64-bit words, whatever the data: about 40 MB when broadcast (10 MB measured for a quarter).
 MAX_BLOOM_WORDS = 1 << 20
 BITS_PER_KEY = 16
 #: Keys with at least this share of all references are salted in the exact join; there can be at most 1/share of them.
