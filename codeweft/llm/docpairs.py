@@ -162,7 +162,7 @@ _EMPTY_WORDS = set(
     see base super parent same as inherited inherit inherits overrides override overridden implementation implements interface
     _summary_ _description_ _type_
     el la los las le les un une une una der die das den dem ein eine di il lo o os du de des del
-    beschreibung fehlt folgt noch à a compléter completer faire por documentar da fare pendiente documentacion documentación descrizione descripción description manque manquante falta fehlend descrição completar rediger
+    beschreibung fehlt folgt noch à a compléter completer faire por documentar da fare pendiente documentacion documentación documentar documentare documenter dokumentieren dokumentiert documentato documentado zu descrizione descripción description manque manquante falta fehlend descrição completar rediger
     """.split()
 )
 # Legal wording.

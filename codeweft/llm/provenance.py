@@ -66,7 +66,8 @@ _RELEASE = re.compile(r"^[#/*\s!]*[\w.-]+ v?\d+(?:\.\d+)+(?:\s*[-–|(].*)?$")
 _STRING = re.compile(r"(?:\b[rRbBuUfF]{1,2})?(?:'''.*?(?:'''|\Z)|\"\"\".*?(?:\"\"\"|\Z)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\")|`[^`]*`", re.S)
 _COMMENT = re.compile(r"(?m)(?:#|//)[^\n]*$|/\*.*?\*/", re.S)
 _KEYWORD = re.compile(r"\b(?:def|class|return|if|elif|else|for|while|function|import|from|const|let|var|try|except|raise|throw|with|yield|assert|lambda|async|await|exports)\b|=>")
-_NAME, _NUMBER, _BLANK = re.compile(r"[A-Za-z_$][\w$]*"), re.compile(r"\b\d[\w.]*"), re.compile(r"\s+")
+_NAME, _NUMBER = re.compile(r"[A-Za-z_$][\w$]*"), re.compile(r"\b\d[\w.]*")
+_NO_BLANKS = dict.fromkeys(map(ord, " \t\r\f"))
 _STUB = re.compile(r"(?:\"\"\"|''')(?:auto-?generated \w+|generated \w+)\.?(?:\"\"\"|''')", re.I)
 _MIGRATION = re.compile(r"^class Migration\((?:\w+\.)?Migration\):\s+(?:initial = \w+\s+)?dependencies = \[", re.M)
 _ESCAPED = re.compile(r"(?:\\x[0-9a-fA-F]{2}){8,}")
@@ -116,15 +117,17 @@ def evidence(text: str) -> str | None:
         return "generated"
     if n < 400:
         return None
-    blank = sum(map(len, _BLANK.findall(text)))
+    blank = n - sum(map(len, text.split()))
     code = _COMMENT.sub("", _STRING.sub("S", text))
     keywords = len(_KEYWORD.findall(code))
-    letters = sum(map(len, _NAME.findall(code)))
+    code = _NUMBER.sub("0", code)
+    shaped, names = _NAME.subn("N", code)
+    letters = len(code) - len(shaped) + names
     if keywords * 1000 < 0.5 * n and n >= 1000 and letters < 0.3 * n:
         return "data"
     if n / len(lines) >= 150 and blank < 0.13 * n:
         return "minified" if keywords * 1000 >= 1.0 * n or letters > 0.1 * n else "data"
-    shapes = Counter(_BLANK.sub("", _NAME.sub("N", _NUMBER.sub("0", x))) for x in code.split("\n") if x.strip())
+    shapes = Counter(x for x in shaped.translate(_NO_BLANKS).split("\n") if x)
     total = sum(shapes.values())
     if total >= 12 and len(shapes) <= 0.25 * total and sum(k for _, k in shapes.most_common(3)) >= 0.6 * total:  # the same few lines over and over
         return "generated"
