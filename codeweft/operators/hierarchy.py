@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codeweft.operators.references import hot_keys
 from codeweft.sources.tables import cut_lineage
 
+#: Parents with this share of all links and no parent of their own are told before the joins; at most 1/share of them.
+HOT_SHARE = 0.01
+
 
 def parent_links(edges: DataFrame) -> DataFrame:
     """Distinct (child, parent) of the CONTAINS rows with two non-null endpoints; repeated rows count once."""
@@ -16,6 +20,15 @@ def parent_links(edges: DataFrame) -> DataFrame:
     )
 
 
+def hot_roots(links: DataFrame) -> list[str]:
+    """Parents of at least HOT_SHARE of all links that are nobody's child. What hangs below them is resolved without sending it to one task."""
+    hot = hot_keys(links, "parent", HOT_SHARE)
+    if not hot:
+        return []
+    below = {r[0] for r in links.where(F.col("child").isin(hot)).select("child").distinct().collect()}  # at most 1/HOT_SHARE
+    return [x for x in hot if x not in below]
+
+
 def _endless(links: DataFrame) -> DataFrame:
     """(node): nodes from which walks along child -> parent never end.
 
@@ -24,7 +37,7 @@ def _endless(links: DataFrame) -> DataFrame:
     depths of the finite nodes have no gaps, so when a doubling drops nobody the
     remaining nodes lie on or under a cycle: log2(depth) + 1 rounds.
     """
-    jump = links.select(F.col("child").alias("a"), F.col("parent").alias("b")).where(F.col("a").isNotNull())
+    jump = links.where(~F.col("parent").isin(hot_roots(links))).select(F.col("child").alias("a"), F.col("parent").alias("b"))
     left = None
     while True:
         nxt = jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
@@ -118,11 +131,12 @@ def hierarchy(links: DataFrame) -> DataFrame:
     """
     links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
     endless = cut_lineage(_endless(links))
+    tops = hot_roots(links)
     roots = links.select(F.col("parent").alias("node")).distinct().join(links.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
     roots = roots.select(F.col("node").alias("node_id"), F.col("node").alias("top"), F.array("node").alias("path"), F.lit(True).alias("done"))
     state = (
         links.join(endless.withColumnRenamed("node", "child"), "child", "left_anti")
-        .select(F.col("child").alias("node_id"), F.col("parent").alias("top"), F.array("parent", "child").alias("path"), F.lit(False).alias("done"))
+        .select(F.col("child").alias("node_id"), F.col("parent").alias("top"), F.array("parent", "child").alias("path"), F.col("parent").isin(tops).alias("done"))
         .union(roots)
     )
     while True:
