@@ -83,6 +83,8 @@ ADDRESS = re.compile(
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = r"(?:[^\W\d_]['’])?[^\W\d_]{2,}"
+#: A capital inside a word makes it an identifier of code, but for names such as McKay and DeWitt.
+_CAMEL = re.compile(r"(?<!\bMc)(?<!\bMac)(?<!\bDe)(?<!\bDi)(?<!\bLe)(?<!\bLa)(?<!\bVan)(?<=[^\W\d_A-ZÀ-Þ])[A-ZÀ-Þ]")
 _PARTICLES = {"van", "von", "de", "der", "den", "del", "della", "di", "da", "du", "dos", "la", "le", "ten", "ter", "zu", "zum", "zur", "af", "bin", "ibn", "al", "el"}
 _TOKEN = re.compile(r"(?:[^\W\d_]['’])?[^\W\d_]{2,}(?:-(?:[^\W\d_]['’])?[^\W\d_]{2,})*|[^\W\d_]\.|[^\s]", re.S)
 _SHAPES = (("email", EMAIL, True), ("address", ADDRESS, True), ("phone", PHONE, True), ("id_number", ID_NUMBER, True), ("phone", PHONE_WEAK, False), ("id_number", ID_WEAK, False))
@@ -160,7 +162,7 @@ def name_pairs(text: str, taken: list[tuple[int, int, str, bool]]) -> list[tuple
 
     def word(i: int) -> bool:
         t = toks[i][2]
-        if len(t) < 2 or t[1] == ".":
+        if len(t) < 2 or t[1] == "." or _CAMEL.search(t):
             return False
         a, b = toks[i][0], toks[i][1]
         return not (a and (masked[a - 1] in "_@/.\\-" or masked[a - 1].isalnum())) and not (b < len(masked) and (masked[b] in "_@/\\(" or masked[b].isalnum() or (masked[b] == "." and b + 1 < len(masked) and masked[b + 1].isalnum())))
