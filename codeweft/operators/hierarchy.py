@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codeweft.operators.references import hot_keys
 from codeweft.sources.tables import cut_lineage
@@ -126,19 +126,19 @@ def hierarchy(links: DataFrame) -> DataFrame:
     path runs from the root to the node, depth is its length less one (0 for a
     root).  Pointers double: unresolved rows join the rows of the ancestor they
     have reached and take over its pointer and path.  Nodes on or under a cycle
-    have no root and are left out here; ``cycle_members`` names them.  A node
+    have no root and are left out here; ``all_paths`` has them too.  A node
     with several parents has a row for each path.  Empty input: no rows.
     """
     links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
     endless = cut_lineage(_endless(links))
-    tops = hot_roots(links)
     roots = links.select(F.col("parent").alias("node")).distinct().join(links.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+    return _paths(links.join(endless.withColumnRenamed("node", "child"), "child", "left_anti"), roots, F.col("parent").isin(hot_roots(links)))
+
+
+def _paths(links: DataFrame, roots: DataFrame, hot: Column) -> DataFrame:
+    """The rows of ``hierarchy`` for links without cycles; hot: which links hang on a root that is not to be joined with."""
     roots = roots.select(F.col("node").alias("node_id"), F.col("node").alias("top"), F.array("node").alias("path"), F.lit(True).alias("done"))
-    state = (
-        links.join(endless.withColumnRenamed("node", "child"), "child", "left_anti")
-        .select(F.col("child").alias("node_id"), F.col("parent").alias("top"), F.array("parent", "child").alias("path"), F.col("parent").isin(tops).alias("done"))
-        .union(roots)
-    )
+    state = links.select(F.col("child").alias("node_id"), F.col("parent").alias("top"), F.array("parent", "child").alias("path"), hot.alias("done")).union(roots)
     while True:
         up = state.select(F.col("node_id").alias("top"), F.col("top").alias("top2"), F.col("path").alias("path2"), F.col("done").alias("done2"))
         moved = (
@@ -159,3 +159,71 @@ def descendants(tree: DataFrame) -> DataFrame:
         .select("ancestor_id", "node_id", (F.col("depth") - F.col("pos")).alias("distance"))
         .distinct()
     )
+
+
+def _unrolled(links: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links without cycles, their roots, (node, cycle_id) of the nodes on a cycle).
+
+    Nodes become (node, start).  A cycle becomes a chain for each start: all of
+    its nodes if ``every``, else the nodes with a parent outside, or its least id
+    if there is none; start is the empty string for nodes on no cycle.  Ways down
+    the chains are the ways down the links that repeat no node.
+    """
+    on = cut_lineage(cycle_nodes(links)[0])
+    rep_c = on.select(F.col("node").alias("child"), F.col("cycle_id").alias("rc"))
+    rep_p = on.select(F.col("node").alias("parent"), F.col("cycle_id").alias("rp"))
+    told = cut_lineage(links.join(rep_c, "child", "left").join(rep_p, "parent", "left"))
+    same = F.coalesce(F.col("rc") == F.col("rp"), F.lit(False))
+    if every:
+        starts = on.select("cycle_id", F.col("node").alias("start"))
+    else:
+        entered = told.where(F.col("rc").isNotNull() & ~same).select(F.col("rc").alias("cycle_id"), F.col("child").alias("start")).distinct()
+        closed = on.select("cycle_id").distinct().join(entered, "cycle_id", "left_anti")
+        starts = entered.union(closed.select("cycle_id", F.col("cycle_id").alias("start")))
+    starts = cut_lineage(starts)
+
+    def at(node: str, start) -> Column:
+        return F.struct(F.col(node).alias("node"), start.alias("start"))
+
+    around = (
+        told.where(same).join(starts.withColumnRenamed("cycle_id", "rc"), "rc").where("child <> start")
+        .select(at("child", F.col("start")).alias("child"), at("parent", F.col("start")).alias("parent"))
+    )
+    into = F.when(F.col("rc").isNull(), F.lit("")).otherwise(F.col("child"))
+    across = (
+        told.where(~same).join(starts.withColumnRenamed("cycle_id", "rp"), "rp", "left")
+        .select(at("child", into).alias("child"), at("parent", F.coalesce("start", F.lit(""))).alias("parent"))
+    )
+    out = cut_lineage(around.union(across))
+    heads = out.select(F.col("parent").alias("node")).union(starts.select(at("start", F.col("start")).alias("node"))).distinct()
+    return out, heads.join(out.select(F.col("child").alias("node")).distinct(), "node", "left_anti"), on
+
+
+def all_paths(links: DataFrame) -> DataFrame:
+    """(node_id, root_id, depth, path ARRAY, rooted): ``hierarchy`` for every id of the links, those on and under cycles too.
+
+    A row for each way down from a root that repeats no node.  A cycle that no
+    link enters from outside has no root above it: its least id stands for one,
+    and rooted is false.  Cycles that share a node are not provided for, as in
+    ``cycle_members``.  Empty input: no rows.
+    """
+    links = cut_lineage(links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()))
+    out, roots, on = _unrolled(links, False)
+    tree = _paths(out, roots, F.col("parent.node").isin(hot_roots(links)))
+    tree = tree.select("node_id.node", F.col("root_id.node").alias("root_id"), "depth", F.col("path.node").alias("path"))
+    return tree.join(on.select(F.col("node").alias("root_id"), "cycle_id"), "root_id", "left").select(
+        F.col("node").alias("node_id"), "root_id", "depth", "path", F.col("cycle_id").isNull().alias("rooted")
+    )
+
+
+def all_descendants(links: DataFrame) -> DataFrame:
+    """(ancestor_id, node_id, distance): every descendant of every id, inside and below cycles too.
+
+    distance is the length of a way down that repeats no node; a pair has a row
+    for each.  A node on a cycle descends from itself, once around.
+    """
+    links = cut_lineage(links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()))
+    out, roots, on = _unrolled(links, True)
+    pairs = descendants(_paths(out, roots, F.col("parent.node").isin(hot_roots(links))))
+    around = on.join(on.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("distance")), "cycle_id").select("node", F.col("node").alias("n"), "distance")
+    return pairs.select(F.col("ancestor_id.node").alias("ancestor_id"), F.col("node_id.node").alias("node_id"), "distance").distinct().union(around)

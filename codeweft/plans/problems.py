@@ -30,6 +30,15 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hi.descendants(hi.hierarchy(hi.parent_links(table(spark, d, "relationship_edge"))))
 
 
+def p3_all_paths(spark: SparkSession, d: str) -> DataFrame:
+    tree = hi.all_paths(hi.parent_links(table(spark, d, "relationship_edge")))
+    return tree.select("node_id", "root_id", "depth", F.array_join("path", " > ").alias("path"), "rooted")
+
+
+def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hi.all_descendants(hi.parent_links(table(spark, d, "relationship_edge")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     t = dg.heavy_keys(table(spark, d, "relationship_edge"), "target_id", 0.01)
     r = dg.heavy_keys(table(spark, d, "function_node"), "repo_id", 0.05)
@@ -55,7 +64,7 @@ x AS (SELECT * FROM r WHERE id IS NOT NULL AND NOT EXISTS (
 _LINKS = "c AS (SELECT DISTINCT source_id AS p, target_id AS n FROM relationship_edge WHERE upper(rel_type) = 'CONTAINS' AND source_id IS NOT NULL AND target_id IS NOT NULL)"
 QUERIES = {
     "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy,
-    "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_target_stats": p4_target_stats, "p4_repo_stats": p4_repo_stats,
+    "p3_descendants": p3_descendants, "p3_all_paths": p3_all_paths, "p3_all_descendants": p3_all_descendants, "p4_found": p4_found, "p4_target_stats": p4_target_stats, "p4_repo_stats": p4_repo_stats,
 }
 
 # Up-closures would be quadratic under long cycles, so the SQL walks down from roots (finite nodes) and from the rest.
@@ -81,6 +90,15 @@ ORACLES = {
  SELECT p AS a, n AS b, 1::BIGINT AS d FROM c WHERE p NOT IN (SELECT node_id FROM bad) AND n NOT IN (SELECT node_id FROM bad)
  UNION SELECT w.a, c.n, w.d + 1 FROM w JOIN c ON c.p = w.b WHERE c.n NOT IN (SELECT node_id FROM bad))
  SELECT a AS ancestor_id, b AS node_id, d AS distance FROM w""",
+    "p3_all_paths": f"""{_WALK}, top AS (SELECT DISTINCT p AS r, TRUE AS rooted FROM c WHERE p NOT IN (SELECT n FROM c)
+ UNION ALL SELECT DISTINCT cycle_id, FALSE FROM cid WHERE cycle_id NOT IN (SELECT x.cycle_id FROM c JOIN cid x ON x.node = c.n LEFT JOIN cid y ON y.node = c.p
+ WHERE y.cycle_id IS DISTINCT FROM x.cycle_id)),
+w AS (SELECT r AS b, [r] AS way, rooted FROM top UNION ALL SELECT c.n, list_append(w.way, c.n), w.rooted FROM w JOIN c ON c.p = w.b WHERE NOT list_contains(w.way, c.n))
+SELECT b AS node_id, way[1] AS root_id, len(way) - 1 AS depth, array_to_string(way, ' > ') AS path, rooted FROM w""",
+    "p3_all_descendants": f"""WITH RECURSIVE {_LINKS}, w AS (
+ SELECT p AS a, n AS b, [n] AS way FROM c
+ UNION ALL SELECT w.a, c.n, list_append(w.way, c.n) FROM w JOIN c ON c.p = w.b WHERE w.a <> w.b AND NOT list_contains(w.way, c.n))
+ SELECT DISTINCT a AS ancestor_id, b AS node_id, len(way) AS distance FROM w""",
     "p4_found": """SELECT 'target_id' AS key_field, target_id AS key_value FROM relationship_edge WHERE target_id IS NOT NULL GROUP BY target_id
  HAVING count(*) >= 0.01 * (SELECT count(*) FROM relationship_edge)
  UNION ALL SELECT 'repo_id', repo_id FROM function_node WHERE repo_id IS NOT NULL GROUP BY repo_id HAVING count(*) >= 0.05 * (SELECT count(*) FROM function_node)""",

@@ -78,3 +78,49 @@ def test_paths_depths_roots_and_descendants(spark):
     }
     assert rows(hi.descendants(tree)) == sorted([
         ("r", "a", 1), ("r", "b", 1), ("r", "c", 2), ("r", "d", 3), ("a", "c", 1), ("a", "d", 2), ("c", "d", 1), ("q", "c", 1), ("q", "d", 2)], key=repr)
+
+
+def brute_ways(pairs):
+    """All ways down that repeat no node but may end where they began, as tuples of two nodes and more."""
+    down = {}
+    for p, c in set(pairs):
+        if p is not None and c is not None:
+            down.setdefault(p, set()).add(c)
+    out, todo = [], [(p, c) for p in down for c in down[p]]
+    while todo:
+        w = todo.pop()
+        out.append(w)
+        if w[0] != w[-1]:
+            todo += [(*w, c) for c in down.get(w[-1], ()) if c not in w[1:]]
+    return out
+
+
+def check_all(spark, pairs):
+    ways, cycles = brute_ways(pairs), {}
+    for node, cid in brute_cycles(pairs):
+        if any(w[0] == node == w[-1] for w in ways) and any(w[0] == node and w[-1] == cid for w in ways):
+            cycles[node] = cid
+    kids = {c for p, c in pairs if p is not None and c is not None}
+    roots = {p: True for p, c in pairs if p is not None and c is not None and p not in kids}
+    entered = {cycles[c] for p, c in pairs if p is not None and c in cycles and cycles.get(p) != cycles[c]}
+    roots |= {cid: False for cid in cycles.values() if cid not in entered}
+    want = [(r, r, 0, r, t) for r, t in roots.items()] + [(w[-1], w[0], len(w) - 1, " ".join(w), roots[w[0]]) for w in ways if w[0] in roots and w[0] != w[-1]]
+    got = [(r.node_id, r.root_id, r.depth, " ".join(r.path), r.rooted) for r in hi.all_paths(links(spark, pairs)).collect()]
+    assert sorted(got) == sorted(want)
+    assert {x[0] for x in got} == {x for pc in pairs if None not in pc for x in pc}
+    assert rows(hi.all_descendants(links(spark, pairs))) == sorted({(w[0], w[-1], len(w) - 1) for w in ways}, key=repr)
+
+
+def test_every_id_has_paths_and_descendants(spark):
+    check_all(spark, [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("b", "d"), ("q", "b"), ("q", "d"), ("d", "e"), ("a", "b"), (None, "n"), ("n", None)])
+    check_all(spark, [("a", "b"), ("b", "a"), ("b", "m"), ("m", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("s", "s"), ("s", "t"), ("r", "z"), ("z", "z"), ("o", "o")])
+    check_all(spark, [("r", "x0")] + [(f"x{i}", f"x{(i + 1) % 9}") for i in range(9)] + [("x4", "y"), ("y", "z"), ("k", "y")])
+
+
+def test_every_id_of_random_forests_with_loops(spark):
+    rnd = random.Random(5)
+    check_all(spark, [(f"n{rnd.randrange(i)}", f"n{i}") for i in range(1, 40)] + [("n20", "n3"), ("n39", "n39"), ("u", "n7")])
+
+
+def test_every_id_of_no_links(spark):
+    assert hi.all_paths(links(spark, [])).count() == hi.all_descendants(links(spark, [])).count() == 0
