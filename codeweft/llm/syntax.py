@@ -1,12 +1,12 @@
 """Source files that do not parse (problem 1).
 
-Files are lexed into segments (see ``shapes``), the distinct segments of all
-files go through the error-correcting chart parser (see ``chart``) once each,
-and a file with a segment of nonzero cost is flagged.  The places of the edits
-tell truncation, merge conflict and wrong language apart.  The grammars are a
-little stricter than the languages, so flagged Python, JSON and TOML files are
-read once more by the exact readers of those languages; files that need no
-edit are never looked at again.
+The exact reader of Python, JSON or TOML says whether a file is flagged, as the
+grammars below are stricter in some places and looser in others.  Flagged files,
+JavaScript, and files too deep for the reader are lexed into segments (see
+``shapes``); the distinct segments of all these go through the error-correcting
+chart parser (see ``chart``) once each.  A segment of nonzero cost flags a file
+that no reader has judged.  The places of the edits tell truncation, merge
+conflict and wrong language apart.
 """
 
 from __future__ import annotations
@@ -33,10 +33,11 @@ TAIL_SEGMENTS = 4
 
 def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        segs = [SEGMENTS[lang](text) for lang, text in zip(b["lang"], b["content"])]
+        refused = [refuses(lang, text) for lang, text in zip(b["lang"], b["content"])]
+        segs = [SEGMENTS[lang](text) if no is not False else [] for lang, text, no in zip(b["lang"], b["content"], refused)]
         yield pd.DataFrame({
             "repo_id": b["repo_id"], "file_path": b["file_path"], "parsed_at": b["parsed_at"], "h": b["h"], "lang": b["lang"],
-            "conflict": [bool(_CONFLICT.search(t)) for t in b["content"]], "segments": segs,
+            "conflict": [bool(_CONFLICT.search(t)) for t in b["content"]], "refused": pd.Series(refused, dtype="boolean"), "segments": segs,
         })
 
 
@@ -44,30 +45,36 @@ def _costs(shapes: pd.Series) -> pd.Series:
     return pd.Series([segment_cost(s) for s in shapes], dtype="int64")
 
 
-def parses(lang: str, text: str) -> bool:
-    """Does the exact reader of the language take the text? A leading byte order mark is no part of it."""
+def refuses(lang: str, text: str) -> bool | None:
+    """Does the exact reader of the language refuse the text? None: it has none, or the text is too deep for it.
+
+    A leading byte order mark is no part of the text, and a coding line says nothing: all is UTF-8.
+    """
     text = text.removeprefix("﻿")
     try:
         if lang == "python":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(text.encode("utf-8"))
+                ast.parse(text)
         elif lang == "json":
             def wrong(constant: str):
                 raise ValueError(constant)
 
-            json.loads(text, parse_constant=wrong)
+            json.loads(text, parse_constant=wrong, parse_int=len)  # int() refuses long numbers
         elif lang == "toml":
             tomllib.loads(text.replace("\r\n", "\n"))
         else:
-            return False  # no second opinion: the chart parser has decided
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return None
         return False
+    except (RecursionError, MemoryError):
+        return None
+    except (SyntaxError, ValueError):
+        return True
 
 
-def _refuted(langs: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([not parses(a, t) for a, t in zip(langs, texts)], dtype="bool")
+def parses(lang: str, text: str) -> bool:
+    """Does the exact reader take the text?"""
+    return refuses(lang, text) is False
 
 
 def syntax_repairs(files: DataFrame) -> DataFrame:
@@ -76,13 +83,14 @@ def syntax_repairs(files: DataFrame) -> DataFrame:
     files: repo_id, file_path, content, parsed_at; only .py, .js, .json and .toml
     files take part.  edits sums the least repair of the file's distinct
     segments.  kind: conflict (markers), mismatch (most segments need edits),
-    truncation (only the end does), or local.  Empty Python, JavaScript and TOML
+    truncation (only the end does), local, or unlocated (the reader refuses what
+    the grammar takes: edits is null).  n_segments counts distinct ones.  Empty Python, JavaScript and TOML
     files parse, empty JSON does not; null content counts as empty.  Exact
     duplicates and older revisions give no further rows.  Empty table: no rows.
     """
     src = revisions(files).where(F.col("lang").isNotNull()).withColumn("parsed_at", F.col("parsed_at").cast("timestamp_ntz"))
-    schema = "repo_id string, file_path string, parsed_at timestamp_ntz, h bigint, lang string, conflict boolean, segments array<string>"
-    lexed = cut_lineage(keep_current(src.mapInPandas(_lex, schema)))
+    schema = "repo_id string, file_path string, parsed_at timestamp_ntz, h bigint, lang string, conflict boolean, refused boolean, segments array<string>"
+    lexed = cut_lineage(keep_current(src.mapInPandas(_lex, schema)).where("refused is null or refused"))
     # not deterministic: else the filter on it is pushed below the distinct and every copy of a shape is parsed
     cost = F.pandas_udf(_costs, "bigint").asNondeterministic()
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -91,19 +99,17 @@ def syntax_repairs(files: DataFrame) -> DataFrame:
     bad = cut_lineage(shapes.select("segment", cost("segment").alias("cost")).where("cost > 0"))
     tail = F.slice("segments", -F.least(F.lit(TAIL_SEGMENTS), F.size("segments")), F.lit(TAIL_SEGMENTS))
     hit = (
-        lexed.select("repo_id", "file_path", "lang", "conflict", F.size("segments").cast("long").alias("n_segments"), F.explode("segments").alias("segment"), F.array_distinct(tail).alias("_tail"))
-        .withColumn("_at_end", F.array_contains("_tail", F.col("segment"))).drop("_tail").join(bad, "segment")
+        lexed.select("repo_id", "file_path", "lang", "conflict", "refused", F.size("segments").cast("long").alias("n_segments"), F.explode_outer("segments").alias("segment"), F.array_distinct(tail).alias("_tail"))
+        .withColumn("_at_end", F.array_contains("_tail", F.col("segment"))).drop("_tail").join(bad, "segment", "left").where("cost is not null or refused")
     )
     per = hit.groupBy("repo_id", "file_path", "lang", "conflict", "n_segments").agg(
-        F.sum("cost").alias("edits"), F.count(F.lit(1)).alias("n_bad"), F.sum((~F.col("_at_end")).cast("long")).alias("_inside")
+        F.sum("cost").alias("edits"), F.count("cost").alias("n_bad"), F.count_if(F.col("cost").isNotNull() & ~F.col("_at_end")).alias("_inside")
     )
-    kind = F.when(F.col("conflict"), "conflict").when(F.col("n_bad") * 2 > F.col("n_segments"), "mismatch").when(F.col("_inside") == 0, "truncation").otherwise("local")
-    flagged = cut_lineage(per.select("repo_id", "file_path", "lang", "edits", "n_segments", "n_bad", kind.alias("kind")))
-    text = keep_current(
-        revisions(files).select("repo_id", "file_path", "parsed_at", "h", "content").join(flagged.select("repo_id", "file_path"), ["repo_id", "file_path"], "left_semi")
+    kind = (
+        F.when(F.col("conflict"), "conflict").when(F.col("n_bad") == 0, "unlocated").when(F.col("n_bad") * 2 > F.col("n_segments"), "mismatch")
+        .when(F.col("_inside") == 0, "truncation").otherwise("local")
     )
-    wrong = F.pandas_udf(_refuted, "boolean")
-    return flagged.join(text, ["repo_id", "file_path"]).where(wrong("lang", "content")).drop("content")
+    return per.select("repo_id", "file_path", "lang", "edits", "n_segments", "n_bad", kind.alias("kind"))
 
 
 def syntax_report(files: DataFrame) -> DataFrame:

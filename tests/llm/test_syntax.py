@@ -118,3 +118,16 @@ def test_empty_table(spark):
 
 def test_readers_are_the_exact_ones():
     assert syntax.parses("python", "") and ast.parse("") and not syntax.parses("json", "") and json.loads("1") == 1 and tomllib.loads("") == {}
+
+
+LOOSE = {
+    "py": ["def f(a=1, b): pass\n", "def f(*a, *b): pass\n", "f(**k, *a)\n", "(a + 1) = 2\n", "[f()] = x\n", "f'{a b}'\n", "f'{'\n", "'a' b'c'\n", "if x:\n\ta\n        b\n"],
+    "toml": ["d = 2024-13-45\n", "a = 1\n[a]\n", '"a" = 1\na = 2\n', "x = {a = 1, a = 2}\n"],
+}
+
+
+def test_what_the_grammars_take_is_read_too(spark):
+    bad = [("r", f"{i}.{ext}", t, None, None) for ext, ts in LOOSE.items() for i, t in enumerate(ts)]
+    good = [("r", "k.json", "1" * 5000, None, None), ("r", "l.json", "[" * 1500 + "]" * 1500, None, None), ("r", "m.py", "# -*- coding: none-such -*-\nx = 1\n", None, None), ("r", "n.toml", "a = 1\n", None, None)]
+    got = {r.file_path: (r.edits, r.kind) for r in syntax.syntax_repairs(frame(spark, bad + good)).collect()}
+    assert got == {p: (None, "unlocated") for _, p, *_ in bad}
