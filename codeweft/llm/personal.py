@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ COMMON_WORD = 0.2
 PAIR_BITS = 7.0
 #: … or this many documents at most, which in a small corpus are few bits.
 RARE_PAIR = 2
+#: Bits of the mask of disclosing terms, 1 MB whatever the data; an exact join follows it.
+MASK_BITS = 1 << 23
 
 _AT = r"(?:[ \t]*(?:\[at\]|\(at\)|\{at\}|<at>|\(a\)|\[a\])[ \t]*|[ \t]+(?:at|AT|At)[ \t]+)"
 _DOT = r"(?:[ \t]*(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\[\.\]|\(\.\))[ \t]*|[ \t]+(?:dot|DOT|Dot)[ \t]+)"
@@ -143,12 +146,12 @@ def _right(text: str, at: int) -> str:
     return " ".join(re.findall(r"[\w'’-]+|[^\w\s]", re.sub(r"\d", "0", after.lower()))[:2]) or "$"
 
 
-def name_pairs(text: str, taken: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str, str]]:
+def name_pairs(text: str, taken: list[tuple[int, int, str, bool]], small: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, given, family) of every run of words shaped like a personal name, overlapping ones too.
 
     Given name [initial] [particles] family, or family, given [initial]; a family
-    name may be double.  Both words begin with a capital or both are lower case;
-    lower case ones count only if both disclose.
+    name may be double.  Both words begin with a capital; with ``small`` the pairs
+    come instead of which a word does not, and they count only if both disclose.
     """
     mask = list(text)
     for s, e, *_ in taken:
@@ -169,24 +172,25 @@ def name_pairs(text: str, taken: list[tuple[int, int, str, bool]]) -> list[tuple
 
     good = [word(i) for i in range(len(toks))]
     for i in range(len(toks)):
-        if not good[i] or not toks[i][2][0].isupper():
+        big = toks[i][2][0].isupper()
+        if not good[i] or not (big or small):
             continue
         j = i + 1
-        if j < len(toks) and toks[j][2] == "," and gap(i, j) == "" and j + 1 < len(toks) and good[j + 1] and re.fullmatch(r"[ \t]{1,2}", gap(j, j + 1)) and toks[j + 1][2][0].isupper():
+        if j < len(toks) and toks[j][2] == "," and gap(i, j) == "" and j + 1 < len(toks) and good[j + 1] and re.fullmatch(r"[ \t]{1,2}", gap(j, j + 1)) and (big and toks[j + 1][2][0].isupper()) != small:
             k = j + 1
             end = toks[k][1]
-            if k + 1 < len(toks) and re.fullmatch(r"[^\W\d_]\.", toks[k + 1][2]) and toks[k + 1][2][0].isupper() and gap(k, k + 1) == " ":
+            if k + 1 < len(toks) and re.fullmatch(r"[^\W\d_]\.", toks[k + 1][2]) and (small or toks[k + 1][2][0].isupper()) and gap(k, k + 1) == " ":
                 out.append((toks[i][0], toks[k + 1][1], toks[k][2], toks[i][2]))
             out.append((toks[i][0], end, toks[k][2], toks[i][2]))
             continue
         steps = 0
         while j < len(toks) and steps < 5 and re.fullmatch(r"[ \t]{1,2}", gap(j - 1, j)):
             t = toks[j][2]
-            if (re.fullmatch(r"[^\W\d_]\.", t) and t[0].isupper() and steps < 2) or (t.lower() in _PARTICLES and good[j]):
+            if (re.fullmatch(r"[^\W\d_]\.", t) and (small or t[0].isupper()) and steps < 2) or (t.lower() in _PARTICLES and good[j]):
                 j += 1
                 steps += 1
                 continue
-            if good[j] and t[0].isupper():
+            if good[j] and (big and t[0].isupper()) != small:
                 out.append((toks[i][0], toks[j][1], toks[i][2], t))
             break
     return out
@@ -211,6 +215,43 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=cols)
 
 
+def _term_mask(terms: DataFrame) -> bytes:
+    """A bit for the checksum of every term, MASK_BITS in all: what has no bit is no term."""
+    bit = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(MASK_BITS))
+    byte = terms.select(F.floor(bit / 8).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    out = bytearray(MASK_BITS // 8)
+    for r in byte.collect():  # at most MASK_BITS / 8 rows
+        out[r.i] = r.b
+    return bytes(out)
+
+
+def _small_candidates(mask: bytes):
+    """Pairs of words of the mask that do not both begin with a capital; the mask takes some other words too."""
+
+    def hit(term: str) -> bool:
+        bit = zlib.crc32(term.encode()) % MASK_BITS
+        return bool(mask[bit >> 3] >> (bit & 7) & 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
+        for b in batches:
+            rows = []
+            for doc, text in zip(b["doc_id"], b["_text"]):
+                words = set(_WORD.findall(text or ""))
+                for w in words - known.keys():
+                    known[w] = hit(fold(w))
+                if sum(known[w] for w in words) > 1:
+                    for s, e, given, family in name_pairs(text, shaped(text), True):
+                        g, f = fold(given.split("-")[0]), _family_terms(family)[0]
+                        if hit(g) and hit(f):
+                            rows.append((doc, s, e, text[s:e], g, f))
+                if len(known) > 300_000:
+                    known.clear()
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "found_text", "given", "family"])
+
+    return run
+
+
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial counts (term, n_text, n_lower, n_mail) of each batch."""
     for b in batches:
@@ -256,7 +297,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     )
     person = F.col("kind") == "person_name"
     known = person & F.col("proper") & (((F.col("f") >= TERM_DISCLOSURE) & (F.col("g") > 0)) | (F.col("right2") == "<mail>"))
-    # Words that differ but in case from running text are no names; both parts in lower case never get here.
+    # Words that differ but in case from running text are no names; pairs not in capitals come in below.
     cand = cut_lineage(cand.withColumn("sure", F.col("sure") | known))
     n_docs = docs.count()
     pair = cand.where(person).groupBy("given", "family").agg(F.count_distinct("doc_id").alias("df"))
@@ -278,8 +319,15 @@ def find_personal(docs: DataFrame) -> DataFrame:
         cand = cut_lineage(with_context(cand).withColumn("sure", F.col("sure") | told))
     scored = with_context(cand)
     weight = F.when(~person, F.lit(9.0)).otherwise(F.col("f") + F.col("g") + F.col("ctx") + F.length("found_text") / 1000)
+    disclosing = cut_lineage(terms.where(F.col("share") >= TERM_DISCLOSURE).select("term", "share"))
+    small = (
+        src.mapInPandas(_small_candidates(_term_mask(disclosing)), "doc_id bigint, start bigint, stop bigint, found_text string, given string, family string")
+        .join(disclosing.select(F.col("term").alias("given"), F.col("share").alias("g")), "given").join(disclosing.select(F.col("term").alias("family"), F.col("share").alias("f")), "family")
+        .select("doc_id", (F.col("f") + F.col("g") + F.length("found_text") / 1000).alias("w"), "start", "stop", F.lit("person_name").alias("kind"), "found_text")
+    )
+    taken = scored.where(F.col("sure") | told).select("doc_id", weight.alias("w"), "start", "stop", "kind", "found_text").union(small)
     # The accepted candidates of one document only: a few per text.
-    per_doc = scored.where(F.col("sure") | told).groupBy("doc_id").agg(F.collect_list(F.struct(weight.alias("w"), "start", "stop", "kind", "found_text")).alias("c"))
+    per_doc = taken.groupBy("doc_id").agg(F.collect_list(F.struct("w", "start", "stop", "kind", "found_text")).alias("c"))
     pick = F.pandas_udf(_pick, "array<struct<kind:string,start:bigint,stop:bigint,found_text:string>>")
     return per_doc.select("doc_id", F.explode(pick("c")).alias("p")).select("doc_id", F.col("p.kind").alias("pii_kind"), "p.start", "p.stop", "p.found_text")
 

@@ -84,3 +84,10 @@ def test_numbers_without_separators_need_their_context(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOC)
     assert ps.find_personal(df).count() == 0 and rows(ps.redact(df, ps.find_personal(df))) == []
+
+
+def test_names_in_any_letter_case(spark):
+    extra = [(950, "thanks to ada byronwick for the trace"), (951, "ADA BYRONWICK signed"), (952, "owner: byronwick, ada k. and otto van hopperdahl"), (953, "Ask ada Byronwick, or zoë velmström."), (954, "a grace period, a mark sweep, ada lock")]
+    df = spark.createDataFrame([(a, b, "z", 1) for a, b in corpus() + extra], DOC)
+    got = {(r.doc_id, r.found_text) for r in ps.find_personal(df).where("doc_id >= 950").collect()}
+    assert got == {(950, "ada byronwick"), (951, "ADA BYRONWICK"), (952, "byronwick, ada k."), (952, "otto van hopperdahl"), (953, "ada Byronwick"), (953, "zoë velmström")}
