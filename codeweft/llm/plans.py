@@ -20,6 +20,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_report(table(spark, d, "parse_result"))
 
 
+def p1_recorded(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.recorded_types(table(spark, d, "parse_result"))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     cols = ["id", "repo_id", "qualified_name", "file_path", "docstring", "observed_at"]
     nodes = table(spark, d, "function_node").select(*cols).unionByName(table(spark, d, "method_node").select(*cols))
@@ -80,7 +84,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_repairs, p1_report, p5_found, p5_pairs, p5_doc_comments, p6_found, p6_report,
+        p1_found, p1_repairs, p1_report, p1_recorded, p5_found, p5_pairs, p5_doc_comments, p6_found, p6_report,
         p7_packing, p7_report, p8_found, p8_report, p9_found, p9_redacted,
     )
 }

@@ -40,9 +40,9 @@ def keep_current(derived: DataFrame) -> DataFrame:
     )
 
 
-def revisions(files: DataFrame) -> DataFrame:
-    """(repo_id, file_path, parsed_at, h, lang, content) of every row that names a file, null content as ''."""
+def revisions(files: DataFrame, *more: str) -> DataFrame:
+    """(repo_id, file_path, parsed_at, h, lang, content, *more) of every row that names a file, null content as ''."""
     return with_language(
         files.where(F.col("repo_id").isNotNull() & F.col("file_path").isNotNull())
-        .select("repo_id", "file_path", "parsed_at", F.coalesce("content", F.lit("")).alias("content"))
+        .select("repo_id", "file_path", "parsed_at", F.coalesce("content", F.lit("")).alias("content"), *more)
     ).withColumn("h", F.xxhash64("content"))

@@ -1,12 +1,12 @@
 """Source files that do not parse (problem 1).
 
-The exact reader of Python, JSON or TOML says whether a file is flagged, as the
-grammars below are stricter in some places and looser in others.  Flagged files,
-JavaScript, and files too deep for the reader are lexed into segments (see
-``shapes``); the distinct segments of all these go through the error-correcting
-chart parser (see ``chart``) once each.  A segment of nonzero cost flags a file
-that no reader has judged.  The places of the edits tell truncation, merge
-conflict and wrong language apart.
+Every file is lexed into segments (see ``shapes``).  The distinct segments of all
+files go through the grammars once each, wherever they occur; a segment that does
+not derive flags its files.  Flagged files are read again: the error-correcting
+chart (see ``chart``) gives each of their segments a least-cost repair with the
+place of every edit, and the places tell truncation, merge conflict and wrong
+language apart.  Where the language has an exact reader here, it has the last
+word on the flagged files, and on no others.
 """
 
 from __future__ import annotations
@@ -21,28 +21,25 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from codeweft.llm.chart import segment_cost
-from codeweft.llm.shapes import SEGMENTS
+from codeweft.llm.chart import derives, split_segment
+from codeweft.llm.shapes import SEGMENTERS, distinct_segments, line_and_column
 from codeweft.llm.sources import keep_current, revisions
 from codeweft.sources.tables import cut_lineage
 
-_CONFLICT = re.compile(r"^(?:<{7}|>{7}|={7})(?: |\r?$)", re.M)
-#: Segments counted as the end of a file.
-TAIL_SEGMENTS = 4
+_CONFLICT = re.compile(r"^(?:<{7}|>{7}|={7}|\|{7})(?: [^\n]*)?$", re.M)
+_TOP = re.compile(r"^[^\s#)\]}/*]", re.M)
+#: Flagged files are broadcast up to so many bytes of keys; beyond it their content comes by a shuffle join.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        refused = [refuses(lang, text) for lang, text in zip(b["lang"], b["content"])]
-        segs = [SEGMENTS[lang](text) if no is not False else [] for lang, text, no in zip(b["lang"], b["content"], refused)]
-        yield pd.DataFrame({
-            "repo_id": b["repo_id"], "file_path": b["file_path"], "parsed_at": b["parsed_at"], "h": b["h"], "lang": b["lang"],
-            "conflict": [bool(_CONFLICT.search(t)) for t in b["content"]], "refused": pd.Series(refused, dtype="boolean"), "segments": segs,
-        })
+        segs = [distinct_segments(lang, text) for lang, text in zip(b["lang"], b["content"])]
+        yield pd.DataFrame({"repo_id": b["repo_id"], "file_path": b["file_path"], "parsed_at": b["parsed_at"], "h": b["h"], "lang": b["lang"], "rev": b["h"], "segments": segs})
 
 
-def _costs(shapes: pd.Series) -> pd.Series:
-    return pd.Series([segment_cost(s) for s in shapes], dtype="int64")
+def _derives(segments: pd.Series) -> pd.Series:
+    return pd.Series([derives(s) for s in segments], dtype="bool")
 
 
 def refuses(lang: str, text: str) -> bool | None:
@@ -50,7 +47,7 @@ def refuses(lang: str, text: str) -> bool | None:
 
     A leading byte order mark is no part of the text, and a coding line says nothing: all is UTF-8.
     """
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     try:
         if lang == "python":
             with warnings.catch_warnings():
@@ -77,39 +74,102 @@ def parses(lang: str, text: str) -> bool:
     return refuses(lang, text) is False
 
 
-def syntax_repairs(files: DataFrame) -> DataFrame:
-    """(repo_id, file_path, lang, edits, n_segments, n_bad, kind) of every file whose current content does not parse.
+def file_repairs(lang: str, text: str, known: dict[str, list] | None = None) -> dict:
+    """The least-cost repair of a file: edits (line, column, op, part), n_segments, n_bad and kind.
 
-    files: repo_id, file_path, content, parsed_at; only .py, .js, .json and .toml
-    files take part.  edits sums the least repair of the file's distinct
-    segments.  kind: conflict (markers), mismatch (most segments need edits),
-    truncation (only the end does), local, or unlocated (the reader refuses what
-    the grammar takes: edits is null).  n_segments counts distinct ones.  Empty Python, JavaScript and TOML
-    files parse, empty JSON does not; null content counts as empty.  Exact
-    duplicates and older revisions give no further rows.  Empty table: no rows.
+    op: + a token put in, - taken out, ~ replaced; part: the kind of part that
+    does not derive.  kind: conflict (an edit on a marker line), mismatch (most
+    segments need edits), truncation (the edits lie in the last top-level part and
+    one of them at the end of the file or at a bracket left open), else local.
     """
+    known = {} if known is None else known
+    short, cut = SEGMENTERS[lang]
+    text = text.replace("\r\n", "\n").replace("\r", "\n") if lang in ("python", "javascript") else text.replace("\r\n", "\n") if lang == "toml" else text
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    segments = cut(text)
+    end = max((o[-1] for *_, o in segments if o), default=0)
+    edits, bad, opened = [], 0, False
+    for goal, shape, places in segments:
+        key = f"{short}.{goal} {shape}"
+        if key not in known:
+            if len(known) > 20_000:
+                known.clear()
+            known[key] = [] if derives(key) else split_segment(key)[0].repair(goal, shape)
+        bad += bool(known[key])
+        for at, op in known[key]:
+            place = places[min(at, len(places) - 1)] if places else 0
+            opened = opened or (op != "+" and shape[at] in "([{") or (line_and_column(starts, place)[0] == line_and_column(starts, end)[0])
+            edits.append((*line_and_column(starts, place), op, goal, place))
+    edits.sort(key=lambda e: (e[4], e[2]))
+    marked = {line_and_column(starts, m.start())[0] for m in _CONFLICT.finditer(text)}
+    tops = [m.start() for m in _TOP.finditer(text)] if lang != "json" else [0]
+    if any(e[0] in marked for e in edits):
+        kind = "conflict"
+    elif bad * 2 > len(segments):
+        kind = "mismatch"
+    elif edits and opened and edits[0][4] >= (tops[-1] if tops else 0):
+        kind = "truncation"
+    else:
+        kind = "local"
+    return {"edits": [{"line": a, "column": b, "op": op, "part": part} for a, b, op, part, _ in edits], "n_segments": len(segments), "n_bad": bad, "kind": kind}
+
+
+_REPAIR = "lang string, edits bigint, n_segments bigint, n_bad bigint, kind string, places array<struct<line:bigint,column:bigint,op:string,part:string>>"
+
+
+def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[str, list] = {}
+    for b in batches:
+        rows = []
+        for repo, path, lang, text in zip(b["repo_id"], b["file_path"], b["lang"], b["content"]):
+            if refuses(lang, text) is False:
+                continue
+            r = file_repairs(lang, text, known)
+            rows.append((repo, path, lang, len(r["edits"]), r["n_segments"], r["n_bad"], r["kind"], r["edits"]))
+        yield pd.DataFrame(rows, columns=["repo_id", "file_path", "lang", "edits", "n_segments", "n_bad", "kind", "places"])
+
+
+def flagged_files(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, lang, rev) of the files of whose current content a segment does not derive; rev is the content's hash."""
     src = revisions(files).where(F.col("lang").isNotNull()).withColumn("parsed_at", F.col("parsed_at").cast("timestamp_ntz"))
-    schema = "repo_id string, file_path string, parsed_at timestamp_ntz, h bigint, lang string, conflict boolean, refused boolean, segments array<string>"
-    lexed = cut_lineage(keep_current(src.mapInPandas(_lex, schema)).where("refused is null or refused"))
-    # not deterministic: else the filter on it is pushed below the distinct and every copy of a shape is parsed
-    cost = F.pandas_udf(_costs, "bigint").asNondeterministic()
+    schema = "repo_id string, file_path string, parsed_at timestamp_ntz, h bigint, lang string, rev bigint, segments array<string>"
+    lexed = cut_lineage(keep_current(src.mapInPandas(_lex, schema)))
+    # A shape recurs all over a corpus: each is parsed once.  Not by segment alone: that would be the partitioning of the distinct, and be merged with it into few tasks.
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A shape recurs all over a corpus: each is parsed once, and only those that need edits go back to the files.
-    shapes = lexed.select(F.explode("segments").alias("segment")).distinct().repartition(parts, "segment")
-    bad = cut_lineage(shapes.select("segment", cost("segment").alias("cost")).where("cost > 0"))
-    tail = F.slice("segments", -F.least(F.lit(TAIL_SEGMENTS), F.size("segments")), F.lit(TAIL_SEGMENTS))
-    hit = (
-        lexed.select("repo_id", "file_path", "lang", "conflict", "refused", F.size("segments").cast("long").alias("n_segments"), F.explode_outer("segments").alias("segment"), F.array_distinct(tail).alias("_tail"))
-        .withColumn("_at_end", F.array_contains("_tail", F.col("segment"))).drop("_tail").join(bad, "segment", "left").where("cost is not null or refused")
-    )
-    per = hit.groupBy("repo_id", "file_path", "lang", "conflict", "n_segments").agg(
-        F.sum("cost").alias("edits"), F.count("cost").alias("n_bad"), F.count_if(F.col("cost").isNotNull() & ~F.col("_at_end")).alias("_inside")
-    )
-    kind = (
-        F.when(F.col("conflict"), "conflict").when(F.col("n_bad") == 0, "unlocated").when(F.col("n_bad") * 2 > F.col("n_segments"), "mismatch")
-        .when(F.col("_inside") == 0, "truncation").otherwise("local")
-    )
-    return per.select("repo_id", "file_path", "lang", "edits", "n_segments", "n_bad", kind.alias("kind"))
+    shapes = lexed.select(F.explode("segments").alias("segment")).distinct().repartition(parts, F.xxhash64("segment", F.lit(7)))
+    fine = F.pandas_udf(_derives, "boolean").asNondeterministic()  # else it is pushed below the distinct
+    bad = shapes.select("segment", fine("segment").alias("fine")).where("not fine").select("segment")
+    hit = lexed.select("repo_id", "file_path", "lang", "rev", F.explode("segments").alias("segment")).join(bad, "segment", "left_semi")
+    return hit.select("repo_id", "file_path", "lang", "rev").distinct()
+
+
+def syntax_repairs(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, lang, edits, n_segments, n_bad, kind, places) of every file whose current content does not parse.
+
+    files: repo_id, file_path, content, parsed_at; only .py, .js, .json and .toml
+    files take part.  edits is the least number of tokens to put in, take out or
+    replace, summed over the file's segments; places has the line, column, edit
+    and part of each (see ``file_repairs`` for these and kind).  Empty Python,
+    JavaScript and TOML files parse, empty JSON does not; null content counts as
+    empty.  Exact duplicates and older revisions give no further rows.  Empty
+    table: no rows.
+    """
+    flagged = cut_lineage(flagged_files(files))
+    size = flagged.agg(F.coalesce(F.sum(F.length("repo_id") + F.length("file_path") + 64), F.lit(0))).first()[0]
+    keys = flagged.select("repo_id", "file_path", F.col("rev").alias("h"))
+    if size <= MAX_BROADCAST_BYTES:
+        keys = F.broadcast(keys)
+    texts = revisions(files).select("repo_id", "file_path", "h", "lang", "content").join(keys, ["repo_id", "file_path", "h"], "left_semi")
+    # several rows may hold the same revision
+    return texts.mapInPandas(_repair, f"repo_id string, file_path string, {_REPAIR}").dropDuplicates(["repo_id", "file_path"])
+
+
+def _current_recorded(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, lang, said, node_types): what the row of the current content was recorded with."""
+    rows = revisions(files, "has_syntax_errors", "errors").where(F.col("lang").isNotNull())
+    types = F.array_sort(F.array_distinct(F.transform(F.coalesce("errors", F.array()), lambda e: e["node_type"])))
+    said = F.struct("parsed_at", "h", F.coalesce("has_syntax_errors", F.lit(False)).alias("said"), types.alias("node_types"), "lang")
+    return rows.groupBy("repo_id", "file_path").agg(F.max(said).alias("r")).select("repo_id", "file_path", "r.lang", "r.said", "r.node_types")
 
 
 def syntax_report(files: DataFrame) -> DataFrame:
@@ -117,16 +177,20 @@ def syntax_report(files: DataFrame) -> DataFrame:
 
     n_recorded: invalid files whose current row was recorded with has_syntax_errors.
     """
-    src = revisions(files).where(F.col("lang").isNotNull())
-    current = src.groupBy("repo_id", "file_path").agg(F.max("lang").alias("lang"))
-    old = (
-        files.where(F.col("repo_id").isNotNull() & F.col("file_path").isNotNull())
-        .groupBy("repo_id", "file_path").agg(F.max(F.struct("parsed_at", F.coalesce("has_syntax_errors", F.lit(False)).alias("said"))).alias("r"))
-        .select("repo_id", "file_path", "r.said")
-    )
+    current = _current_recorded(files)
     found = syntax_repairs(files).select("repo_id", "file_path", F.lit(1).alias("bad"))
-    j = current.join(found, ["repo_id", "file_path"], "left").join(old, ["repo_id", "file_path"], "left")
+    j = current.join(found, ["repo_id", "file_path"], "left")
     return j.groupBy("repo_id", "lang").agg(
         F.count(F.lit(1)).alias("n_files"), F.count("bad").alias("n_invalid"), (F.count("bad") / F.count(F.lit(1))).alias("rate"),
         F.sum((F.col("bad").isNotNull() & F.col("said")).cast("long")).alias("n_recorded"),
     )
+
+
+def recorded_types(files: DataFrame) -> DataFrame:
+    """(lang, kind, node_type, n_files): the recorded node types of current rows against what is found; kind is 'valid' for files that parse.
+
+    A file counts once for each of its distinct node types, under a null type if none was recorded.
+    """
+    found = syntax_repairs(files).select("repo_id", "file_path", "kind")
+    j = _current_recorded(files).join(found, ["repo_id", "file_path"], "left")
+    return j.select("lang", F.coalesce("kind", F.lit("valid")).alias("kind"), F.explode_outer("node_types").alias("node_type")).groupBy("lang", "kind", "node_type").agg(F.count(F.lit(1)).alias("n_files"))
