@@ -270,7 +270,7 @@ PYTHON = Grammar(
     comparison = '<nz' / '!' 'n' / 'z' '!' ;
     bit = unary { '-*%/@P|' unary } ;
     unary = { '-~' } [ 'a' ] primary ;
-    primary = 'N0JSβCp12qb345' { '.' 'N' / 'uvw' } ;
+    primary = 'N0JSβCp12qb345' { '.' 'N' / 'uv' } ;
     plain = 'N' ;
     given = 'N' '=' { 'L' [ 'N' { ',' 'N' } ] ':' } Or ;
     lambda_params = lambda_before [ ',' lambda_star ] [ ',' ] / lambda_star [ ',' ] ;
@@ -284,7 +284,7 @@ PYTHON = Grammar(
     starreds = starred { ',' starred } [ ',' ] ;
     yield = 'Y' [ stars / 'F' E ] ;
     value = stars / yield ;
-    single = 'N1' / 'N0JSβCp12qb345' { '.' 'N' / 'uvw' } ( '.' 'N' / 'vw' ) ;
+    single = 'N1' / 'N0JSβCp12qb345' { '.' 'N' / 'uv' } ( '.' 'N' / 'v' ) ;
     target = single / '2345' ;
     targets = [ '*' ] target { ',' [ '*' ] target } [ ',' ] ;
     loop_targets = targets ;
@@ -322,7 +322,7 @@ PYTHON = Grammar(
     field = value ;
     simple = { targets '=' } value / single 'G' value / single ':' E [ '=' value ] / 'r' [ stars ] / 'R' [ E [ 'F' E ] ]
            / 'g' 'N' { ',' 'N' } / 'D' ( single / '23' ) { ',' ( single / '23' ) } [ ',' ] / 'T' E [ ',' E ] / 'k' / 'I' module { ',' module }
-           / 'F' ( dotted / '.C' { '.C' } [ dotted ] ) 'I' ( '*' / 'o' / as_name { ',' as_name } ) / 'X' 'N' [ 'w' ] '=' E ;
+           / 'F' ( dotted / '.C' { '.C' } [ dotted ] ) 'I' ( '*' / 'o' / as_name { ',' as_name } ) / 'X' 'N' [ '§' ] '=' E ;
     with_item = E [ 's' target ] ;
     number = [ '-' ] '0J' / [ '-' ] '0' '-' 'J' ;
     closed = number / 'Sβ' / 'C' / 'N' { '.' 'N' } [ 'u' ] / 'pqb' ;
@@ -333,7 +333,7 @@ PYTHON = Grammar(
     pat_map = [ ( map_key ':' pattern / 'P' 'N' ) { ',' ( map_key ':' pattern / 'P' 'N' ) } [ ',' ] ] ;
     map_key = number / 'Sβ' / 'C' / 'N' '.' 'N' { '.' 'N' } ;
     header = 'ilw' named ':' / 'ety' ':' / [ 'A' ] 'f' loop_targets 'n' stars ':' / 'x' [ [ '*' ] E [ 's' 'N' ] ] ':'
-           / [ 'A' ] 'h' with_item { ',' with_item } ':' / [ 'A' ] 'h' 'p' ':' / [ 'A' ] 'd' 'N' [ 'w' ] 'm' [ '>' E ] ':' / 'c' 'N' [ 'w' ] [ 'u' ] ':'
+           / [ 'A' ] 'h' with_item { ',' with_item } ':' / [ 'A' ] 'h' 'p' ':' / [ 'A' ] 'd' 'N' [ '§' ] 'm' [ '>' E ] ':' / 'c' 'N' [ '§' ] [ 'u' ] ':'
            / 'M' ( starred [ ',' [ starreds ] ] ) ':' / 'K' maybe_star [ ',' [ maybe_star { ',' maybe_star } [ ',' ] ] ] [ 'i' named ] ':' / '@' named ;
     body = 'Bb' ;
     block = statement { statement } ;

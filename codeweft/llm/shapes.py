@@ -147,7 +147,7 @@ def _py_class(token: str) -> str:
 
 
 _PY = _Classes(PY_CLASSES, _py_class)
-_PY_ATOM_END = frozenset("N0JSβCp12345qbuvw?")
+_PY_ATOM_END = frozenset("N0JSβCp12345qbuv§?")
 
 
 @_remembered
@@ -409,7 +409,7 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool)
                 goal, kind = {"(": ("pat_args", "u") if before == "N" else ("pat_seq", "p"), "[": ("pat_seq", "q"), "{": ("pat_map", "b")}[o]
             elif o == "(":
                 if before in _PY_ATOM_END and before:
-                    defined = outer_c[-2:-1] == ["d"] or (before == "w" and outer_c[-3:-2] == ["d"])
+                    defined = outer_c[-2:-1] == ["d"] or (before == "§" and outer_c[-3:-2] == ["d"])
                     goal, kind = ("params", "m") if defined else ("args", "u")
                 elif before == "I":
                     goal, kind = "names", "o"
@@ -421,7 +421,7 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool)
             elif o == "[":
                 if before in _PY_ATOM_END and before:
                     named = before == "N" and outer_c[-2:-1] and outer_c[-2] in "dcX"
-                    goal, kind = ("typeparams", "w") if named else ("index", "v")
+                    goal, kind = ("typeparams", "§") if named else ("index", "v")
                 else:
                     kind = _py_list(body)
                     goal = "list" if kind == "q" else ""

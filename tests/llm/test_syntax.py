@@ -42,6 +42,7 @@ BAD = {
 
 MORE_GOOD = {
   "python": [
+    "while (a or b) not in c: pass\nif (a)[b]: pass\nwhile [a][0]: pass\n",
     '(a) = 1\n', '(a, b) = 1\n', '((a, b)) = c\n', '[a, *b] = c\n', '(a): int = 1\n', 'for (a, b) in c: pass\n', 'for [a, *b], c in d: pass\n', 'with a as (b, c): pass\n',
     'with (a as b, c as d): pass\n', 'with (a, b): pass\n', 'with (a): pass\n', 'with (yield): pass\n', 'with (a) as b, c: pass\n', 'del (a, b), [c]\n', 'del (a)\n',
     '(a) += 1\n', 'a[0] += 1\na.b = 1\n(a.b) = 2\n', 'def f(a, /, b, *, c): pass\n', 'def f(a, b=1, /, c=2, *d, e, f=3, **g): pass\n', 'def f(*, a): pass\n',
