@@ -38,14 +38,22 @@ class _Rule:
     """The least deterministic automaton of one rule: per state the next state by token, and whether it may end there."""
 
     def __init__(self, nfa: _Nfa):
+        own: dict[int, frozenset] = {}
+
+        def closure(x: int) -> frozenset:
+            if x not in own:
+                seen, todo = {x}, [x]
+                while todo:
+                    for t in nfa.free[todo.pop()]:
+                        if t not in seen:
+                            seen.add(t)
+                            todo.append(t)
+                # only states with a token, and the end, tell subsets apart
+                own[x] = frozenset(y for y in seen if nfa.moves[y] or y == nfa.end)
+            return own[x]
+
         def closed(states) -> frozenset:
-            seen, todo = set(states), list(states)
-            while todo:
-                for t in nfa.free[todo.pop()]:
-                    if t not in seen:
-                        seen.add(t)
-                        todo.append(t)
-            return frozenset(seen)
+            return frozenset().union(*map(closure, states))
 
         number: dict[frozenset, int] = {closed([nfa.start]): 0}
         table: list[dict[str, int]] = []
@@ -65,10 +73,13 @@ class _Rule:
                 row[sym] = number[c]
             table.append(row)
         final = [nfa.end in subset for subset in number]
-        kind = [int(f) for f in final]
+        symbols: dict[tuple, int] = {}
+        rows = [sorted(row.items()) for row in table]
+        kind = [symbols.setdefault((final[i], *(s for s, _ in row)), len(symbols)) for i, row in enumerate(rows)]
+        targets = [[t for _, t in row] for row in rows]
         while True:  # states that no rest of a shape tells apart become one
             sign: dict[tuple, int] = {}
-            new = [sign.setdefault((kind[i], tuple(sorted((s, kind[t]) for s, t in row.items()))), len(sign)) for i, row in enumerate(table)]
+            new = [sign.setdefault((k, *[kind[t] for t in row]), len(sign)) for k, row in zip(kind, targets)]
             if len(sign) == len(set(kind)):
                 break
             kind = new

@@ -12,6 +12,7 @@ knows, and brackets without a partner stay in the shape.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import unicodedata
 
@@ -99,6 +100,8 @@ _PY_TOKEN = re.compile(
     r"|\.\.\.|\*\*=|//=|<<=|>>=|:=|->|==|!=|<=|>=|[-+*/%@|&^]=|\*\*|//|<<|>>|[-+*/%@|&^~<>=,:.;()\[\]{}]|.",
     re.S,
 )
+_PY_QUICK = re.compile(r"[ \t\f]*(" + _PY_TOKEN.pattern + ")", re.S)
+_SOFT_LINE = re.compile(r"(?:^|[:;])[ \t]*(?:match|case|type)\b", re.M)
 _PY_NUMBER = re.compile(r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:[1-9](?:_?\d)*|0(?:_?0)*)|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ]))\Z")
 _PY_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|N(?!\{[^}]+\}))")
 _PY_BAD_BYTE = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
@@ -147,6 +150,7 @@ def _py_class(token: str) -> str:
 
 
 _PY = _Classes(PY_CLASSES, _py_class)
+_PY_PLAIN = frozenset(PY_CLASSES.values()) - set("([{)]}MKXi") | set("N0J?")
 _PY_ATOM_END = frozenset("N0JSβCp12345qbuv§?")
 
 
@@ -257,25 +261,75 @@ def _f_field(text: str, i: int, quote: str, raw: bool, out: list) -> int:
     return i + 1 if text[i : i + 1] == "}" else -1
 
 
+@functools.lru_cache(4096)
 def _width(blanks: str) -> tuple[int, int]:
     """Columns of an indentation with tabs to 8, and with tabs as one: what the language compares."""
     blanks = blanks.rsplit("\f", 1)[-1]
     return len(blanks.expandtabs(8)), len(blanks)
 
 
-def python_segments(text: str) -> list[Segment]:
-    """Segments of a Python file: one per bracketed part, statement line and block."""
+def python_segments(text: str, quick: bool = False) -> list[Segment]:
+    """Segments of a Python file: one per bracketed part, statement line and block; with ``quick`` the places are only counted."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     first = 1 if text[:1] == "﻿" else 0
     out: list[Segment] = []
-    lines = _python_lines(text, first, len(text), out, False)
+    lines = _python_lines(text, first, len(text), out, False, quick)
     _python_blocks(lines, out)
     if "\0" in text:
         out.append(("simple", "?", [text.index("\0")]))
     return out
 
 
-def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool) -> list[tuple[tuple[int, int], str, bool, int]]:
+def _quick_tokens(text: str, at: int, end: int, out: list[Segment]):
+    """Tokens without their places, by number; None if places are needed to tell them."""
+    if ("match" in text or "case" in text or "type" in text) and _SOFT_LINE.search(text, at, end):
+        return None
+    tokens = _PY_QUICK.findall(text, at, end)
+    if "f'" in text or 'f"' in text or "F" in text or "fr" in text or "fR" in text:
+        for t in [t for t in tokens if t[0] in "fFrR" and t[-1] in "'\""]:
+            if _F_OPEN.match(t):
+                parts = _F_MEMO.get(t)
+                if parts is None:
+                    fields: list[tuple[int, int]] = []
+                    if _f_fields(t, 0, fields) != len(t):
+                        return None
+                    parts = []
+                    for a, b in fields:
+                        _python_lines(t, a, b, parts, True, False)
+                    if len(_F_MEMO) > 50_000:
+                        _F_MEMO.clear()
+                    _F_MEMO[t] = parts
+                out += parts
+    return enumerate(tokens)
+
+
+#: Segments of the fields of f-strings seen.
+_F_MEMO: dict[str, list[Segment]] = {}
+
+
+def _placed_tokens(text: str, at: int, end: int, out: list[Segment]):
+    """(offset, token) of text[at:end]; the fields of f-strings go to ``out``."""
+    pos = at
+    while pos < end:
+        if text[pos] in "fFrR" and _F_OPEN.match(text, pos) and not (pos and (text[pos - 1].isalnum() or text[pos - 1] == "_")):
+            fields: list[tuple[int, int]] = []
+            stop = _f_fields(text, pos, fields)
+            if 0 < stop <= end:
+                for a, b in fields:
+                    _python_lines(text, a, b, out, True, False)
+                yield pos, text[pos:stop] if stop - pos < 400 and "\n" not in text[pos:stop] else "f''"
+                pos = stop
+                continue
+            m = _PY_TOKEN.match(text, pos, end)
+            yield pos, "?" if m.group()[-1] in "'\"" else m.group()
+            pos = m.end()
+            continue
+        m = _PY_TOKEN.match(text, pos, end)
+        yield pos, m.group()
+        pos = m.end()
+
+
+def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool, quick: bool) -> list[tuple[tuple[int, int], str, bool, int]]:
     """Lexes text[at:end]; its segments go to ``out``. Gives (indentation, kind, opens a block, offset) per statement line; a field is one expression."""
     widths: list[tuple[int, int]] = []
     known: dict[tuple[int, int], str] = {}
@@ -287,32 +341,9 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool)
             widths.append(w)
         return known[w]
 
-    if _F_OPEN.search(text, at, end):
-        def tokens():
-            pos = at
-            while pos < end:
-                if text[pos] in "fFrR" and _F_OPEN.match(text, pos) and not (pos and (text[pos - 1].isalnum() or text[pos - 1] == "_")):
-                    fields: list[tuple[int, int]] = []
-                    stop = _f_fields(text, pos, fields)
-                    if 0 < stop <= end:
-                        for a, b in fields:
-                            _python_lines(text, a, b, out, True)
-                        yield pos, text[pos:stop] if len(text[pos:stop]) < 400 and "\n" not in text[pos:stop] else "f''"
-                        pos = stop
-                        continue
-                    m = _PY_TOKEN.match(text, pos, end)
-                    yield pos, "?" if m.group()[-1] in "'\"" else m.group()
-                    pos = m.end()
-                    continue
-                m = _PY_TOKEN.match(text, pos, end)
-                yield pos, m.group()
-                pos = m.end()
-    else:
-        def tokens():
-            pos = at
-            for t in _PY_TOKEN.findall(text, at, end):
-                yield pos, t
-                pos += len(t)
+    tokens = _quick_tokens(text, at, end, out) if quick else None
+    if tokens is None:
+        tokens = _placed_tokens(text, at, end, out)
 
     lines: list[tuple[tuple[int, int], str, bool, int]] = []
     cur: list[str] = []
@@ -361,8 +392,13 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool)
                 cur.append(c)
                 off.append(o)
 
-    for pos, tok in tokens():
-        c = _PY[tok]
+    classes = _PY
+    for pos, tok in tokens:
+        c = classes[tok]
+        if c in _PY_PLAIN:
+            cur.append(c)
+            off.append(pos)
+            continue
         if not c:
             continue
         if c == "\n":
@@ -373,6 +409,10 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool)
                 finish(line_at)
                 line_at = indent(tok[1:])
             continue
+        if c in "([{":
+            frames.append((c, pos, cur, off))
+            cur, off = [], []
+            continue
         if c in "MKX":
             start = not frames and not cur and not field
             hard = start and _SOFT[c].match(text, pos)
@@ -382,10 +422,6 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool)
             continue  # strings side by side are one
         elif c == "i" and pattern and not frames:
             pattern = False
-        if c in "([{":
-            frames.append((c, pos, cur, off))
-            cur, off = [], []
-            continue
         if c in ")]}":
             k = len(frames) - 1
             while k >= 0 and _CLOSE[frames[k][0]] != c:
@@ -397,14 +433,16 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool)
             if k < len(frames) - 1:
                 inlined(k + 1)
             o, p, outer_c, outer_o = frames.pop()
-            if any(x >= _FIRST_INDENT for x in cur):
+            if cur and max(cur) >= _FIRST_INDENT:
                 keep = [j for j, x in enumerate(cur) if x < _FIRST_INDENT]
                 cur, off = [cur[j] for j in keep], [off[j] for j in keep]
                 merged = [j for j in range(len(cur)) if not (j and cur[j] in "Sβ" and cur[j] == cur[j - 1])]
                 if len(merged) < len(cur):
                     cur, off = [cur[j] for j in merged], [off[j] for j in merged]
             body = "".join(cur)
-            before = next((x for x in reversed(outer_c) if x < _FIRST_INDENT), "")
+            before = outer_c[-1] if outer_c else ""
+            if before >= _FIRST_INDENT:
+                before = next((x for x in reversed(outer_c) if x < _FIRST_INDENT), "")
             if pattern:
                 goal, kind = {"(": ("pat_args", "u") if before == "N" else ("pat_seq", "p"), "[": ("pat_seq", "q"), "{": ("pat_map", "b")}[o]
             elif o == "(":
@@ -551,6 +589,7 @@ _JS_TOKEN = re.compile(
     r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|\+\+|--|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\*\*|<<|>>|[-+*/%&|^]=|[-+*/%&|^~!<>=?:,.;()\[\]{}]|.",
     re.S,
 )
+_JS_QUICK = re.compile(r"[^\S\n]*(" + _JS_TOKEN.pattern + ")?", re.S)
 _JS_REGEX = re.compile(r"/(?![*/])((?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+)/([A-Za-z]*)")
 _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 _JS_NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|(?:0|[1-9]\d*(?:_\d+)*)n?|(?:(?:0|[1-9]\d*(?:_\d+)*)?\.\d+(?:_\d+)*|(?:0|[1-9]\d*(?:_\d+)*)\.?)(?:[eE][+-]?\d+)?)\Z")
@@ -577,6 +616,7 @@ def _js_class(token: str) -> str:
 
 
 _JS = _Classes(JS_CLASSES, _js_class)
+_JS_PLAIN = frozenset("=.S0-*!>πνωZQP")
 _JS_OPERAND = frozenset("NCA0Spqbg12345O")
 
 
@@ -689,26 +729,39 @@ def javascript_segments(text: str) -> list[Segment]:
             f.places += [g.at, *g.places]
         del frames[k:]
 
+    step = _JS_QUICK.match
     while at < n:
+        m = step(text, at)
+        tok = m.group(1)
+        if tok is None:
+            break
+        pos, at = m.start(1), m.end()
+        c = _JS[tok]
+        if not c:
+            continue
         f = frames[-1]
-        c = text[at]
-        if c == "`":
-            at = template(at, at + 1)
+        if c in _JS_PLAIN or (c == "N" and not f.declares and tok not in _JS_MODIFIERS and not (f.chars and f.chars[-1] in "c\n" and f.last() == "c")):
+            f.chars.append(c)
+            f.places.append(pos)
             continue
-        if c == "/" and text[at + 1 : at + 2] not in ("/", "*"):
+        if c == ",":
+            if f.asked:
+                f.asked.clear()
+            f.awaits = f.declares != ""
+            f.chars.append(c)
+            f.places.append(pos)
+            continue
+        if tok == "`":
+            at = template(pos, pos + 1)
+            continue
+        if tok[0] == "/" and tok in ("/", "/="):
             p = f.last()
             divides = (p in _JS_OPERAND and p) or (p == "P" and f.last(2) in _JS_OPERAND and f.last(2)) or (p in "BW" and p and f.called_at == len(f.chars) - 1)
-            m = None if divides else _JS_REGEX.match(text, at)
+            m = None if divides else _JS_REGEX.match(text, pos)
             if m:
-                put("S" if _js_regex(*m.groups()) else _JS_WRONG, at)
+                put("S" if _js_regex(*m.groups()) else _JS_WRONG, pos)
                 at = m.end()
                 continue
-        m = _JS_TOKEN.match(text, at)
-        tok, pos = m.group(), at
-        at = m.end()
-        c = _JS[tok]
-        if not c:
-            continue
         p = f.last()
         if c == "\n":
             if f.chars:
@@ -722,15 +775,18 @@ def javascript_segments(text: str) -> list[Segment]:
         elif tok == "with" and p == "S":
             c = "N"  # attributes of an import
         elif tok[0].isalpha() and c != "N":
-            nxt = _JS_NEXT.match(text, at).group(1) or ""
-            key = f.kind == "object" and (p in ("", ",") or (p in "µA*" and nxt == "(")) or f.kind == "class" and (p in ("", ";", "B") or f.chars[-1:] == ["\n"] or (p in "µA*" and nxt in ("(", "=", ";")))
-            if p in (".", "Q") and p:
+            if p and p in ".Q":
                 c = "N"
-            elif c == "A":
-                if nxt in (":", ",", "}", "=", "", ")", ";", ".") or (key and nxt == "("):
-                    c = "A" if nxt == "=" and f.kind not in ("object", "class") else "N"
-            elif key and c not in "I" or f.kind == "specs":
+            elif f.kind == "specs":
                 c = "N"
+            elif c == "A" or f.kind == "object" or f.kind == "class":
+                nxt = _JS_NEXT.match(text, at).group(1) or ""
+                key = f.kind == "object" and (p in ("", ",") or (p in "µA*" and nxt == "(")) or f.kind == "class" and (p in ("", ";", "B") or f.chars[-1:] == ["\n"] or (p in "µA*" and nxt in ("(", "=", ";")))
+                if c == "A":
+                    if nxt in (":", ",", "}", "=", "", ")", ";", ".") or (key and nxt == "("):
+                        c = "A" if nxt == "=" and f.kind not in ("object", "class") else "N"
+                elif key and c != "I":
+                    c = "N"
         if f.declares and f.awaits and c == "N":
             f.awaits = False
             if f.kind in _BLOCKS:
@@ -804,8 +860,9 @@ def _js_open(f: _Frame, sign: str, pos: int) -> _Frame:
     if sign == "[":
         member = f.kind == "class" and (f.chars[-1:] == ["\n"] or p in ("", ";", "B", "µ", "*", "A")) and not (p == "N" and q == "=")
         return _Frame(sign, pos, "index" if not member and p and (p in _JS_OPERAND or p == "Q" or (p in "BW" and f.called_at == len(f.chars) - 1)) else "array", inside)
-    tail = "".join(c for c in f.chars[-80:] if c != "\n")
-    if _JS_HEIR.search(tail):
+    last = f.chars[-80:]
+    tail = "".join(last).replace("\n", "") if p == "m" or p == "," or "c" in last else ""
+    if "c" in tail and _JS_HEIR.search(tail):
         return _Frame(sign, pos, "class", inside)
     if p == "h" and q == "s":
         return _Frame(sign, pos, "switch", inside)
@@ -1200,7 +1257,8 @@ SEGMENTERS = {"python": ("py", python_segments), "javascript": ("js", javascript
 def distinct_segments(lang: str, text: str) -> list[str]:
     """The distinct shortened segments of a file as ``language.goal shape``."""
     short, cut = SEGMENTERS[lang]
-    return list(dict.fromkeys(f"{short}.{goal} {thin(goal, shape)}" for goal, shape, _ in cut(text)))
+    found = {(goal, shape) for goal, shape, _ in (cut(text, True) if lang == "python" else cut(text))}
+    return sorted({f"{short}.{goal} {thin(goal, shape)}" for goal, shape in found})
 
 
 def line_and_column(starts: list[int], at: int) -> tuple[int, int]:
