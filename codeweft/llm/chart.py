@@ -186,10 +186,12 @@ class Grammar:
         src, dst, runs, heads, by = r.steps()
         none = (np.array([], np.int64),) * 2
 
+        far = np.full(len(r.final), _FAR, np.int64)
+
         def one_more(d: np.ndarray) -> np.ndarray:
-            out = np.full(len(d), _FAR, np.int64)
+            out = far.copy()
             if len(runs):
-                out[heads] = np.minimum.reduceat(d[src] + 1, runs)
+                out[heads] = np.minimum.reduceat(d[src], runs) + 1
             return out
 
         def with_puts(e: np.ndarray) -> np.ndarray:
@@ -205,7 +207,7 @@ class Grammar:
             np.minimum.at(e, b, d[a])
             return e
 
-        start = np.full(len(r.final), _FAR, np.int64)
+        start = far.copy()
         start[r.start] = 0
         kept = {0: with_puts(start)}
         d = kept[0]
@@ -444,6 +446,16 @@ JAVASCRIPT = Grammar(
 GRAMMARS = {"py": PYTHON, "json": JSON, "toml": TOML, "js": JAVASCRIPT}
 
 
+def compiled(goals: dict[str, list[str]] | None = None) -> dict[str, dict[str, _Rule]]:
+    """The automata of the goals of each grammar (None: all), to be sent to tasks, which then need not build them."""
+    return {lang: {name: GRAMMARS[lang].rule(name) for name in names} for lang, names in (goals or {k: list(g.source) for k, g in GRAMMARS.items()}).items()}
+
+
+def adopt(tables: dict[str, dict[str, _Rule]]) -> None:
+    for lang, rules in tables.items():
+        GRAMMARS[lang].rules.update(rules)
+
+
 def split_segment(segment: str) -> tuple[Grammar, str, str]:
     """(grammar, goal, shape) of a segment ``language.goal shape``."""
     head, _, shape = segment.partition(" ")

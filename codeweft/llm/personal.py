@@ -1,14 +1,17 @@
 """Personal information inside free text (problem 9).
 
 Candidates are found by shape.  Whether a candidate reveals a person is decided
-by what the corpus says: how often its terms stand inside protected entities
-(e-mail addresses name their owners) against how often they stand anywhere, and
-how often its context precedes entities that are beyond doubt.  Terms above the
-disclosure thresholds are taken out, replaced by a placeholder of their type.
+by what the corpus says of its terms and its context: the pointwise mutual
+information between a term and the protected entities that are beyond doubt (an
+e-mail address names its owner), and the share of a context's candidates that
+are beyond doubt.  Terms above the disclosure thresholds are generalised, that
+is replaced by a placeholder of their type.  All statistics are over all
+different texts, so copies of a text count once.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -16,24 +19,28 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codeweft.sources.tables import cut_lineage
 
-#: Share of a term's occurrences that lie in e-mail addresses from which on the term names a person.
-TERM_DISCLOSURE = 0.08
+#: A term names a person if it tells this share of all there is to know about an occurrence lying in an address: the pointwise
+#: mutual information of the two over the information of the latter, log2(P(address | term) / P(address)) / -log2 P(address).
+TERM_TOLD = 0.59
 #: Share from which on a given name reveals the rare proper word after it without any context.
-GIVEN_CERTAIN = 0.3
+GIVEN_TOLD = 0.8
 #: Share of a context's candidates that are beyond doubt from which on the context reveals the others.
 CONTEXT_DISCLOSURE = 0.15
 #: Share of a word's occurrences in lower case up to which it can be a family name told by context only.
 COMMON_WORD = 0.2
-#: Bits of information two capital words must carry to be a name by context only: -log2 of the share of documents that hold the pair.
+#: Bits of information two capital words must carry to be a name by context only: -log2 of the share of texts that hold the pair.
 PAIR_BITS = 7.0
-#: … or this many documents at most, which in a small corpus are few bits.
+#: ... or this many texts at most, which in a small corpus are few bits.
 RARE_PAIR = 2
 #: Bits of the mask of disclosing terms, 1 MB whatever the data; an exact join follows it.
 MASK_BITS = 1 << 23
+#: Keys with this share of the rows and more are looked up by broadcast; there are at most 1/share of them.
+HOT_SHARE = 0.001
 
 _AT = r"(?:[ \t]*(?:\[at\]|\(at\)|\{at\}|<at>|\(a\)|\[a\])[ \t]*|[ \t]+(?:at|AT|At)[ \t]+)"
 _DOT = r"(?:[ \t]*(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\[\.\]|\(\.\))[ \t]*|[ \t]+(?:dot|DOT|Dot)[ \t]+)"
@@ -100,21 +107,78 @@ def fold(word: str) -> str:
 
 
 def _digits(s: str) -> int:
-    return sum(c.isdigit() for c in s)
+    return sum(map(s.count, "0123456789")) if s.isascii() else sum(c.isdigit() for c in s)
+
+
+_SPELLED_DOT = re.compile(r"dot|\[\.\]|\(\.\)", re.I)
+_SPELLED_AT = re.compile(r"\bat\b|\(a\)|\[a\]", re.I)
+_NUMBERS = re.compile(r"[+(]?\d[\d ().\-/]{6,}")
+_INSURED = re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]")
+#: A postal code as it stands in an address: after a capital word, or between a comma or line end and a word.
+_POSTAL = re.compile(rf"\b[A-ZÀ-Þ][\w'’-]*(?:{_SEP}| ){_POST}(?!\w)|{_SEP}{_POST} [^\W\d_]")
+#: A street as it stands in an address of any of the forms of ADDRESS.
+_STREETS = re.compile(
+    rf"{_CAP} {_STREET}[ \t]*[,\n]|\d(?: ?(?i:bis|ter))?,? (?i:rue|avenue|boulevard|place|chemin|allée|impasse|quai)\b"
+    r"|\b(?i:calle|avenida|avda|plaza|paseo|camino|rua|via|viale|piazza|corso|travessa|praça)\b|\b[Cc]/"
+    r"|(?i:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|ring|damm|laan|straat) \d"
+)
+
+
+def _windows(kind: str, text: str, numbers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of a text in which alone a shape of the kind can lie: all of it, or what is around a sign every such shape has."""
+    if kind == "email":
+        at = text.find("@")
+        if at >= 0:
+            done = 0
+            while at >= 0:
+                a, b = at, at
+                while a > done and not text[a - 1].isspace():
+                    a -= 1
+                while b < len(text) and not text[b].isspace():
+                    b += 1
+                yield a, b
+                done = b
+                at = text.find("@", b)
+        if _SPELLED_DOT.search(text) and _SPELLED_AT.search(text):
+            yield 0, len(text)
+    elif kind == "address":  # at most five lines, with the postal code in the last
+        spans: list[list[int]] = []
+        for m in _POSTAL.finditer(text):
+            if spans and m.end() <= spans[-1][1]:
+                continue
+            a = m.end()
+            for _ in range(6):
+                a = text.rfind("\n", 0, max(a - 1, 0)) + 1
+            b = text.find("\n", m.end())
+            b = len(text) if b < 0 else b
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+        for a, b in spans:
+            if _STREETS.search(text, a, b):
+                yield a, b
+    else:
+        yield from numbers
+        if kind == "id_number":
+            for m in _INSURED.finditer(text):
+                yield m.start(), min(len(text), m.end() + 2)
 
 
 def shaped(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, beyond doubt) of the entities told by shape, without overlaps; earlier shapes in _SHAPES win."""
     taken: list[tuple[int, int, str, bool]] = []
+    numbers = [(m.start(), min(len(text), m.end() + 2)) for m in _NUMBERS.finditer(text)]
     for kind, pattern, sure in _SHAPES:
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if kind == "phone" and not 8 <= _digits(m.group()) <= 15:
-                continue
-            if kind == "email" and "@" not in m.group() and not re.search(r"[^\w][dD][oO][tT][^\w]|\.\]|\.\)", m.group()):
-                continue
-            if all(e <= a or b <= s for a, b, *_ in taken):
-                taken.append((s, e, kind, sure))
+        for a, b in _windows(kind, text, numbers):
+            for m in pattern.finditer(text, a, b):
+                s, e = m.span()
+                if kind == "phone" and not 8 <= _digits(m.group()) <= 15:
+                    continue
+                if kind == "email" and "@" not in m.group() and not re.search(r"[^\w][dD][oO][tT][^\w]|\.\]|\.\)", m.group()):
+                    continue
+                if all(e <= x or y <= s for x, y, *_ in taken):
+                    taken.append((s, e, kind, sure))
     return taken
 
 
@@ -129,70 +193,79 @@ def mail_terms(address: str) -> list[str]:
     return out
 
 
+_LEFT_TOKEN = re.compile(r"[\w'’-]+[^\w\s]?|[^\w\s]")
+_RIGHT_TOKEN = re.compile(r"[\w'’-]+|[^\w\s]")
+_TAIL = re.compile(r"(?:(?:[\w'’-]+[^\w\s]?|[^\w\s])\s*){0,3}\Z")
+_DIGIT = re.compile(r"\d")
+_BEFORE_MAIL = re.compile(r"[ \t]*[,(<\[]?[ \t]*")
+
+
 def _left(text: str, at: int) -> tuple[str, str]:
     """The last token and the last two tokens before ``at`` in its line, digits as 0; a line start shows as ^."""
-    line = text[max(text.rfind("\n", 0, at) + 1, at - 60) : at]
-    toks = re.findall(r"[\w'’-]+[^\w\s]?|[^\w\s]", re.sub(r"\d", "0", line.lower()))
-    if len(toks) < 2:
+    begin = text.rfind("\n", 0, at) + 1
+    low = at
+    toks: list[str] = []
+    while len(toks) < 3 and low > begin:  # twice as far back until there are tokens enough, so that the first of them is whole
+        low = max(begin, at - 2 * (at - low) - 40)
+        toks = _LEFT_TOKEN.findall(_DIGIT.sub("0", text[low:at].lower()))
+    if low == begin and len(toks) < 2:
         toks = ["^", *toks]
     return toks[-1] if len(toks) > 1 else "^", " ".join(toks[-2:])
 
 
 def _right(text: str, at: int) -> str:
     """The two tokens after ``at`` in its line, or <mail> if an address follows at once."""
-    after = text[at : at + 60].split("\n", 1)[0]
-    if re.match(r"[ \t]*[,(<]?[ \t]*", after) and EMAIL.match(text, at + re.match(r"[ \t]*[,(<\[]?[ \t]*", after).end()):
-        return "<mail>"
-    return " ".join(re.findall(r"[\w'’-]+|[^\w\s]", re.sub(r"\d", "0", after.lower()))[:2]) or "$"
+    after = _BEFORE_MAIL.match(text, at).end()
+    if "@" in text[after : after + 320].split("\n", 1)[0] or _SPELLED_AT.search(text, after, after + 80):
+        if EMAIL.match(text, after):
+            return "<mail>"
+    end = text.find("\n", at)
+    end = len(text) if end < 0 else end
+    toks: list[str] = []
+    high = at
+    while len(toks) < 3 and high < end:
+        high = min(end, at + 2 * (high - at) + 40)
+        toks = _RIGHT_TOKEN.findall(_DIGIT.sub("0", text[at:high].lower()))
+    return " ".join(toks[:2]) or "$"
+
+
+_PARTICLE = "(?i:" + "|".join(sorted(_PARTICLES, key=len, reverse=True)) + ")"
+_NAME_WORD = r"(?:[^\W\d_]['’])?[^\W\d_]{2,}(?:-(?:[^\W\d_]['’])?[^\W\d_]{2,})*"
+_NAME_END = r"(?![\w@/\\(]|\.\w|['’-]\w)"
+_BIG = "(?=[A-ZÀ-ÖØ-Þ\u0100-\u024f\u0370-\u03ff\u0400-\u042f])"
+
+
+def _pair_pattern(start: str) -> re.Pattern:
+    return re.compile(
+        rf"(?<![\w@/.\\'’-])(?={start}({_NAME_WORD}){_NAME_END}(?:,[ \t]{{1,2}}({_NAME_WORD}){_NAME_END}( [^\W\d_]\.(?!\w))?"
+        rf"|[ \t]{{1,2}}(?:(?:[^\W\d_]\.|{_PARTICLE}{_NAME_END})[ \t]{{1,2}})*({_NAME_WORD}){_NAME_END}))"
+    )
+
+
+_PAIRS_BIG, _PAIRS_ANY = _pair_pattern(_BIG), _pair_pattern("")
 
 
 def name_pairs(text: str, taken: list[tuple[int, int, str, bool]], small: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, given, family) of every run of words shaped like a personal name, overlapping ones too.
 
-    Given name [initial] [particles] family, or family, given [initial]; a family
+    Given name [initials, particles] family, or family, given [initial]; a family
     name may be double.  Both words begin with a capital; with ``small`` the pairs
     come instead of which a word does not, and they count only if both disclose.
     """
-    mask = list(text)
     for s, e, *_ in taken:
-        mask[s:e] = "\n" * (e - s)
-    masked = "".join(mask)
-    toks = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(masked)]
+        text = f"{text[:s]}{chr(10) * (e - s)}{text[e:]}"
     out = []
-
-    def gap(i: int, j: int) -> str:
-        return masked[toks[i][1] : toks[j][0]]
-
-    def word(i: int) -> bool:
-        t = toks[i][2]
-        if len(t) < 2 or t[1] == "." or _CAMEL.search(t):
-            return False
-        a, b = toks[i][0], toks[i][1]
-        return not (a and (masked[a - 1] in "_@/.\\-" or masked[a - 1].isalnum())) and not (b < len(masked) and (masked[b] in "_@/\\(" or masked[b].isalnum() or (masked[b] == "." and b + 1 < len(masked) and masked[b + 1].isalnum())))
-
-    good = [word(i) for i in range(len(toks))]
-    for i in range(len(toks)):
-        big = toks[i][2][0].isupper()
-        if not good[i] or not (big or small):
+    for m in (_PAIRS_ANY if small else _PAIRS_BIG).finditer(text):
+        first, given, initial, family = m.groups()
+        last = given or family
+        if (first[0].isupper() and last[0].isupper()) == small or _CAMEL.search(first) or _CAMEL.search(last):
             continue
-        j = i + 1
-        if j < len(toks) and toks[j][2] == "," and gap(i, j) == "" and j + 1 < len(toks) and good[j + 1] and re.fullmatch(r"[ \t]{1,2}", gap(j, j + 1)) and (big and toks[j + 1][2][0].isupper()) != small:
-            k = j + 1
-            end = toks[k][1]
-            if k + 1 < len(toks) and re.fullmatch(r"[^\W\d_]\.", toks[k + 1][2]) and (small or toks[k + 1][2][0].isupper()) and gap(k, k + 1) == " ":
-                out.append((toks[i][0], toks[k + 1][1], toks[k][2], toks[i][2]))
-            out.append((toks[i][0], end, toks[k][2], toks[i][2]))
-            continue
-        steps = 0
-        while j < len(toks) and steps < 5 and re.fullmatch(r"[ \t]{1,2}", gap(j - 1, j)):
-            t = toks[j][2]
-            if (re.fullmatch(r"[^\W\d_]\.", t) and (small or t[0].isupper()) and steps < 2) or (t.lower() in _PARTICLES and good[j]):
-                j += 1
-                steps += 1
-                continue
-            if good[j] and (big and t[0].isupper()) != small:
-                out.append((toks[i][0], toks[j][1], toks[i][2], t))
-            break
+        if given is None:
+            out.append((m.start(1), m.end(4), first, family))
+        else:
+            if initial and (small or initial[1].isupper()):
+                out.append((m.start(1), m.end(3), given, first))
+            out.append((m.start(1), m.end(2), given, first))
     return out
 
 
@@ -200,19 +273,41 @@ def _family_terms(family: str) -> list[str]:
     return [fold(p.split("'")[-1].split("’")[-1]) for p in family.split("-")]
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["doc_id", "kind", "start", "stop", "found_text", "given", "family", "left1", "left2", "right2", "sure"]
+_SCAN = "th string, kind string, start bigint, stop bigint, found_text string, given string, family string, left1 string, left2 string, right2 string, sure boolean, term string, n_text bigint, n_lower bigint, n_mail bigint"
+_SCAN_COLUMNS = [c.split()[0] for c in _SCAN.split(", ")]
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of every text, and the counts of the words of each batch (rows of which only term and the counts are set)."""
+    types = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in _SCAN.split(", ")])
     for b in batches:
-        rows = []
-        for doc, text in zip(b["doc_id"], b["_text"]):
-            if not text:
-                continue
+        rows, mails, kept = [], Counter(), []
+        for th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             taken = shaped(text)
-            for s, e, kind, sure in taken:
-                rows.append((doc, kind, s, e, text[s:e], None, None, *_left(text, s), _right(text, e), sure))
             for s, e, given, family in name_pairs(text, taken):
-                rows.append((doc, "person_name", s, e, text[s:e], fold(given.split("-")[0]), _family_terms(family)[0], *_left(text, s), _right(text, e), False))
-        yield pd.DataFrame(rows, columns=cols)
+                rows.append((th, "person_name", s, e, text[s:e], fold(given.split("-")[0]), _family_terms(family)[0], *_left(text, s), _right(text, e), False))
+            for s, e, kind, sure in taken:
+                rows.append((th, kind, s, e, text[s:e], None, None, *_left(text, s), _right(text, e), sure))
+            for s, e, kind, _ in taken:
+                if kind == "email":
+                    mails.update(mail_terms(text[s:e]))
+                    text = f"{text[:s]}{' ' * (e - s)}{text[e:]}"
+            kept.append(text)
+        words, lower = Counter(), Counter()
+        for w, k in Counter(_WORD.findall("\n".join(kept))).items():
+            t = fold(w)
+            words[t] += k
+            if w.islower():
+                lower[t] += k
+        if rows:
+            cols = [pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*rows))]
+            cols += [pa.nulls(len(rows), schema.field(i).type) for i in range(len(cols), len(schema))]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        terms = list(words.keys() | mails.keys())
+        if terms:
+            cols = [pa.nulls(len(terms), f.type) for f in schema][:11] + [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (words, lower, mails))]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
 def _term_mask(terms: DataFrame) -> bytes:
@@ -233,42 +328,34 @@ def _small_candidates(mask: bytes):
         return bool(mask[bit >> 3] >> (bit & 7) & 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, bool] = {}
+        known: set[str] = set()
+        other: set[str] = set()
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["_text"]):
-                words = set(_WORD.findall(text or ""))
-                for w in words - known.keys():
-                    known[w] = hit(fold(w))
-                if sum(known[w] for w in words) > 1:
+            for th, text in zip(b["th"], b["_text"]):
+                words = set(_WORD.findall(text))
+                fresh = words - known - other
+                if fresh:
+                    yes = {w for w in fresh if hit(fold(w))}
+                    known |= yes
+                    other |= fresh - yes
+                if len(words & known) > 1:
                     for s, e, given, family in name_pairs(text, shaped(text), True):
                         g, f = fold(given.split("-")[0]), _family_terms(family)[0]
                         if hit(g) and hit(f):
-                            rows.append((doc, s, e, text[s:e], g, f))
-                if len(known) > 300_000:
-                    known.clear()
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "found_text", "given", "family"])
+                            rows.append((th, s, e, text[s:e], g, f))
+                if len(other) > 500_000:
+                    other.clear()
+            yield pd.DataFrame(rows, columns=["th", "start", "stop", "found_text", "given", "family"])
 
     return run
 
 
-def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts (term, n_text, n_lower, n_mail) of each batch."""
-    for b in batches:
-        words, lower, mails = Counter(), Counter(), Counter()
-        for text in b["_text"]:
-            if not text:
-                continue
-            spans = [m.span() for m in EMAIL.finditer(text)]
-            for s, e in spans:
-                mails.update(mail_terms(text[s:e]))
-            for s, e in reversed(spans):
-                text = text[:s] + " " + text[e:]
-            found = _WORD.findall(text)
-            words.update(map(fold, found))
-            lower.update(fold(w) for w in found if w.islower())
-        terms = list(words.keys() | mails.keys())
-        yield pd.DataFrame({"term": terms, "n_text": [words[t] for t in terms], "n_lower": [lower[t] for t in terms], "n_mail": [mails[t] for t in terms]})
+def _look_up(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """left join with ``right`` (unique by keys); its heavy keys by weight, whose sum is total at most, are broadcast: 1/HOT_SHARE of them at most."""
+    heavy = F.col(weight) >= HOT_SHARE * total
+    hot = F.broadcast(right.where(heavy).drop(weight))
+    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(right.where(~heavy).drop(weight), keys, "left"))
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
@@ -276,60 +363,79 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text, other columns ignored; positions count code points.  Null
     and empty texts hold nothing.  Copies of a text give the same rows under each
-    doc_id.  All statistics are over all documents.  A corpus without any e-mail
-    address has no terms that disclose names; the four other kinds do not need them.
+    doc_id, and count once in the statistics, which are over all texts.  A corpus
+    without any e-mail address has no terms that disclose names; the four other
+    kinds do not need them.
     """
-    src = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"))
+    src = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long"), F.sha2("text", 256).alias("th"), F.col("text").alias("_text"))
+    # Copies go before the shuffle and after it; the texts are gone after this step.
+    texts = src.groupBy("_text").agg(F.first("th").alias("th")).select("th", "_text")
+    scan = cut_lineage(texts.mapInArrow(_scan, _SCAN))
     terms = (
-        src.select("_text").mapInPandas(_term_counts, "term string, n_text bigint, n_lower bigint, n_mail bigint")
-        .groupBy("term").agg(F.sum("n_text").alias("n_text"), F.sum("n_lower").alias("n_lower"), F.sum("n_mail").alias("n_mail"))
-        .select("term", (F.col("n_mail") / (F.col("n_text") + F.col("n_mail"))).alias("share"), (F.col("n_lower") / F.greatest("n_text", F.lit(1))).alias("lower"))
+        scan.where("term IS NOT NULL").groupBy("term").agg(F.sum("n_text").alias("n_text"), F.sum("n_lower").alias("n_lower"), F.sum("n_mail").alias("n_mail"))
     )
-    schema = "doc_id bigint, kind string, start bigint, stop bigint, found_text string, given string, family string, left1 string, left2 string, right2 string, sure boolean"
-    cand = src.mapInPandas(_candidates, schema)
-    g = terms.where(f"share > 0 OR lower <= {COMMON_WORD}").select(F.col("term").alias("given"), F.col("share").alias("g"))
-    f = terms.where(f"share > 0 OR lower <= {COMMON_WORD}").select(F.col("term").alias("family"), F.col("share").alias("f"), F.col("lower"))
+    terms = cut_lineage(terms)
+    all_mail, all_words = terms.agg(F.sum("n_mail"), F.sum(F.col("n_text") + F.col("n_mail"))).first()
+    all_words = all_words or 1
+    base = min((all_mail or 0) / all_words or 0.5, 0.999)
+    occurs = F.col("n_text") + F.col("n_mail")
+    share = F.col("n_mail") / occurs
+    # terms in no address are far below any threshold
+    terms = terms.select("term", F.when(F.col("n_mail") > 0, F.log2(share / F.lit(base)) / F.lit(-math.log2(base))).otherwise(F.lit(-99.0)).alias("told"), (F.col("n_lower") / F.greatest("n_text", F.lit(1))).alias("lower"), occurs.alias("n"))
     none = F.lit(0.0)
-    cand = (
-        cand.join(g, "given", "left").join(f, "family", "left")
-        .withColumns({"proper": F.coalesce(F.col("lower") <= COMMON_WORD, F.lit(False)) & F.col("g").isNotNull()})
-        .withColumns({"g": F.coalesce("g", none), "f": F.coalesce("f", none)})
-    )
+    cand = scan.where("term IS NULL").drop("term", "n_text", "n_lower", "n_mail")
     person = F.col("kind") == "person_name"
-    known = person & F.col("proper") & (((F.col("f") >= TERM_DISCLOSURE) & (F.col("g") > 0)) | (F.col("right2") == "<mail>"))
+    # What two words are is asked once for each pair, however often it occurs.
+    n_texts, n_docs = src.agg(F.count_distinct("th"), F.count(F.lit(1))).first()
+    n_names, n_others = cand.agg(F.count_if(person), F.count_if(~person)).first()
+    pair = cand.where(person).groupBy("given", "family").agg(F.count_distinct("th").alias("df"))
+    useful = terms.where(f"told > -99 OR lower <= {COMMON_WORD}")
+    pair = _look_up(pair, useful.select(F.col("term").alias("given"), F.col("told").alias("g"), "n"), ["given"], "n", all_words)
+    pair = _look_up(pair, useful.select(F.col("term").alias("family"), F.col("told").alias("f"), "lower", "n"), ["family"], "n", all_words)
+    proper = F.coalesce(F.col("lower") <= COMMON_WORD, F.lit(False)) & F.col("g").isNotNull()
+    rare = (F.col("df") <= RARE_PAIR) | (F.col("df") <= F.lit(n_texts / 2.0**PAIR_BITS))
     # Words that differ but in case from running text are no names; pairs not in capitals come in below.
-    cand = cut_lineage(cand.withColumn("sure", F.col("sure") | known))
-    n_docs = docs.count()
-    pair = cand.where(person).groupBy("given", "family").agg(F.count_distinct("doc_id").alias("df"))
-    cand = cand.join(pair, ["given", "family"], "left").withColumn("bits", F.coalesce(-F.log2(F.col("df") / F.lit(float(max(n_docs, 1)))), none))
+    pair = cut_lineage(pair.where(proper).select("given", "family", "df", F.coalesce("g", F.lit(-99.0)).alias("g"), F.coalesce("f", F.lit(-99.0)).alias("f"), rare.alias("rare")))
+    names = _look_up(cand.where(person), pair, ["given", "family"], "df", n_names).where("rare IS NOT NULL")
+    known = ((F.col("f") >= TERM_TOLD) & (F.col("g") > -99)) | (F.col("right2") == "<mail>")
+    names = names.withColumn("sure", known).withColumn("open", F.col("rare"))
+    others = cand.where(~person).withColumns({"g": none, "f": none, "rare": F.lit(False), "open": F.lit(True)})
+    # All pairs count in a context, whether or not their words can be names.
+    seen = cand.where(person).select("kind", "left1", "left2", "right2").unionByName(others.select("kind", "left1", "left2", "right2"))
+    sizes = {col: cut_lineage(seen.groupBy("kind", col).agg(F.count(F.lit(1)).alias("_n"))) for col in ("left1", "left2", "right2")}
+    cand = cut_lineage(names.unionByName(others))
 
     def with_context(c: DataFrame) -> DataFrame:
         c = c.drop("ctx")
         for col in ("left1", "left2", "right2"):
-            per = c.groupBy("kind", col).agg(F.sum(F.col("sure").cast("long")).alias("_s"), F.count(F.lit(1)).alias("_n"))
-            per = per.where("_s > 0").select("kind", col, (F.col("_s") / (F.col("_n") + 1)).alias(f"_{col}"))
-            c = c.join(per, ["kind", col], "left")
+            per = c.where("sure").groupBy("kind", col).agg(F.count(F.lit(1)).alias("_s"))
+            per = per.join(sizes[col], ["kind", col]).select("kind", col, (F.col("_s") / (F.col("_n") + 1)).alias(f"_{col}"), "_n")
+            c = _look_up(c, per, ["kind", col], "_n", n_names + n_others)
         c = c.withColumn("ctx", F.greatest(*[F.coalesce(F.col(f"_{x}"), none) for x in ("left1", "left2", "right2")]))
         return c.drop("_left1", "_left2", "_right2")
 
-    rare = (F.col("bits") >= PAIR_BITS) | (F.col("df") <= RARE_PAIR)
-    told = ((F.col("ctx") >= CONTEXT_DISCLOSURE) & (~person | (F.col("proper") & rare))) | (person & (F.col("g") >= GIVEN_CERTAIN) & F.col("proper") & rare)
+    accepted = F.col("open") & ((F.col("ctx") >= CONTEXT_DISCLOSURE) | ((F.col("kind") == "person_name") & (F.col("g") >= GIVEN_TOLD)))
     # Contexts of what is beyond doubt reveal more, and the contexts of that yet more.
     for _ in range(2):
-        cand = cut_lineage(with_context(cand).withColumn("sure", F.col("sure") | told))
+        cand = cut_lineage(with_context(cand).withColumn("sure", F.col("sure") | accepted))
     scored = with_context(cand)
-    weight = F.when(~person, F.lit(9.0)).otherwise(F.col("f") + F.col("g") + F.col("ctx") + F.length("found_text") / 1000)
-    disclosing = cut_lineage(terms.where(F.col("share") >= TERM_DISCLOSURE).select("term", "share"))
-    small = (
-        src.mapInPandas(_small_candidates(_term_mask(disclosing)), "doc_id bigint, start bigint, stop bigint, found_text string, given string, family string")
-        .join(disclosing.select(F.col("term").alias("given"), F.col("share").alias("g")), "given").join(disclosing.select(F.col("term").alias("family"), F.col("share").alias("f")), "family")
-        .select("doc_id", (F.col("f") + F.col("g") + F.length("found_text") / 1000).alias("w"), "start", "stop", F.lit("person_name").alias("kind"), "found_text")
-    )
-    taken = scored.where(F.col("sure") | told).select("doc_id", weight.alias("w"), "start", "stop", "kind", "found_text").union(small)
-    # The accepted candidates of one document only: a few per text.
-    per_doc = taken.groupBy("doc_id").agg(F.collect_list(F.struct("w", "start", "stop", "kind", "found_text")).alias("c"))
+
+    def chance(told: str):
+        return F.pow(F.lit(base), F.lit(1.0) - F.col(told))
+
+    weight = F.when(F.col("kind") != "person_name", F.lit(9.0)).otherwise(chance("f") + chance("g") + F.col("ctx") + F.length("found_text") / 1000)
+    disclosing = cut_lineage(terms.where(F.col("told") >= TERM_TOLD).select("term", "told", "n"))
+    small = src.select("th", "_text").mapInPandas(_small_candidates(_term_mask(disclosing)), "th string, start bigint, stop bigint, found_text string, given string, family string").dropDuplicates(["th", "start", "stop", "given", "family"])
+    small = _look_up(small, disclosing.select(F.col("term").alias("given"), F.col("told").alias("g"), "n"), ["given"], "n", all_words).where("g IS NOT NULL")
+    small = _look_up(small, disclosing.select(F.col("term").alias("family"), F.col("told").alias("f"), "n"), ["family"], "n", all_words).where("f IS NOT NULL")
+    small = small.select("th", (chance("f") + chance("g") + F.length("found_text") / 1000).alias("w"), "start", "stop", F.lit("person_name").alias("kind"), "found_text")
+    taken = scored.where(F.col("sure") | accepted).select("th", weight.alias("w"), "start", "stop", "kind", "found_text").union(small)
+    # The accepted candidates of one text only: a few per text.
     pick = F.pandas_udf(_pick, "array<struct<kind:string,start:bigint,stop:bigint,found_text:string>>")
-    return per_doc.select("doc_id", F.explode(pick("c")).alias("p")).select("doc_id", F.col("p.kind").alias("pii_kind"), "p.start", "p.stop", "p.found_text")
+    spans = cut_lineage(taken.groupBy("th").agg(F.collect_list(F.struct("w", "start", "stop", "kind", "found_text")).alias("c")).select("th", pick("c").alias("p")))
+    copies = src.groupBy("th").agg(F.count(F.lit(1)).alias("n"))
+    rows = _look_up(src.select("doc_id", "th"), spans.join(copies, "th"), ["th"], "n", n_docs)
+    return rows.select("doc_id", F.explode("p").alias("p")).select("doc_id", F.col("p.kind").alias("pii_kind"), "p.start", "p.stop", "p.found_text")
 
 
 def _pick(groups: pd.Series) -> pd.Series:

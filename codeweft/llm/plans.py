@@ -9,7 +9,7 @@ from codeweft.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.syntax_repairs(table(spark, d, "parse_result")).select("repo_id", "file_path")
+    return syntax.invalid_files(table(spark, d, "parse_result"))
 
 
 def p1_repairs(spark: SparkSession, d: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from codeweft.llm.chart import derives, split_segment
+from codeweft.llm.chart import adopt, compiled, derives, split_segment
 from codeweft.llm.shapes import SEGMENTERS, distinct_segments, line_and_column
 from codeweft.llm.sources import keep_current, revisions
 from codeweft.sources.tables import cut_lineage
@@ -32,14 +32,30 @@ _TOP = re.compile(r"^[^\s#)\]}/*]", re.M)
 MAX_BROADCAST_BYTES = 32 << 20
 
 
+#: What the segmenters themselves ask of the grammars.
+_ASKED = {"py": ["one_target", "some_targets", "some_star_targets", "list_targets", "list_star_targets", "paren"], "js": ["array", "array_pattern", "object", "object_pattern", "paren_place"]}
+
+
+def _lexer(tables: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        adopt(tables)
+        return _lex(batches)
+
+    return run
+
+
 def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         segs = [distinct_segments(lang, text) for lang, text in zip(b["lang"], b["content"])]
         yield pd.DataFrame({"repo_id": b["repo_id"], "file_path": b["file_path"], "parsed_at": b["parsed_at"], "h": b["h"], "lang": b["lang"], "rev": b["h"], "segments": segs})
 
 
-def _derives(segments: pd.Series) -> pd.Series:
-    return pd.Series([derives(s) for s in segments], dtype="bool")
+def _judge(tables: dict):
+    def judge(segments: pd.Series) -> pd.Series:
+        adopt(tables)
+        return pd.Series([derives(s) for s in segments], dtype="bool")
+
+    return judge
 
 
 def refuses(lang: str, text: str) -> bool | None:
@@ -114,30 +130,36 @@ def file_repairs(lang: str, text: str, known: dict[str, list] | None = None) ->
     return {"edits": [{"line": a, "column": b, "op": op, "part": part} for a, b, op, part, _ in edits], "n_segments": len(segments), "n_bad": bad, "kind": kind}
 
 
-_REPAIR = "lang string, edits bigint, n_segments bigint, n_bad bigint, kind string, places array<struct<line:bigint,column:bigint,op:string,part:string>>"
+_REPAIR = "repo_id string, file_path string, lang string, edits bigint, n_segments bigint, n_bad bigint, kind string, places array<struct<line:bigint,column:bigint,op:string,part:string>>"
 
 
-def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, list] = {}
-    for b in batches:
-        rows = []
-        for repo, path, lang, text in zip(b["repo_id"], b["file_path"], b["lang"], b["content"]):
-            if refuses(lang, text) is False:
-                continue
-            r = file_repairs(lang, text, known)
-            rows.append((repo, path, lang, len(r["edits"]), r["n_segments"], r["n_bad"], r["kind"], r["edits"]))
-        yield pd.DataFrame(rows, columns=["repo_id", "file_path", "lang", "edits", "n_segments", "n_bad", "kind", "places"])
+def _refused(langs: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([refuses(*x) is not False for x in zip(langs, texts)], dtype="bool")
+
+
+def _repairer(tables: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        adopt(tables)
+        known: dict[str, list] = {}
+        for b in batches:
+            rows = []
+            for repo, path, lang, text in zip(b["repo_id"], b["file_path"], b["lang"], b["content"]):
+                r = file_repairs(lang, text, known)
+                rows.append((repo, path, lang, len(r["edits"]), r["n_segments"], r["n_bad"], r["kind"], r["edits"]))
+            yield pd.DataFrame(rows, columns=["repo_id", "file_path", "lang", "edits", "n_segments", "n_bad", "kind", "places"])
+
+    return run
 
 
 def flagged_files(files: DataFrame) -> DataFrame:
     """(repo_id, file_path, lang, rev) of the files of whose current content a segment does not derive; rev is the content's hash."""
     src = revisions(files).where(F.col("lang").isNotNull()).withColumn("parsed_at", F.col("parsed_at").cast("timestamp_ntz"))
     schema = "repo_id string, file_path string, parsed_at timestamp_ntz, h bigint, lang string, rev bigint, segments array<string>"
-    lexed = cut_lineage(keep_current(src.mapInPandas(_lex, schema)))
+    lexed = cut_lineage(keep_current(src.mapInPandas(_lexer(compiled(_ASKED)), schema)))
     # A shape recurs all over a corpus: each is parsed once.  Not by segment alone: that would be the partitioning of the distinct, and be merged with it into few tasks.
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shapes = lexed.select(F.explode("segments").alias("segment")).distinct().repartition(parts, F.xxhash64("segment", F.lit(7)))
-    fine = F.pandas_udf(_derives, "boolean").asNondeterministic()  # else it is pushed below the distinct
+    fine = F.pandas_udf(_judge(compiled()), "boolean").asNondeterministic()  # else it is pushed below the distinct
     bad = shapes.select("segment", fine("segment").alias("fine")).where("not fine").select("segment")
     hit = lexed.select("repo_id", "file_path", "lang", "rev", F.explode("segments").alias("segment")).join(bad, "segment", "left_semi")
     return hit.select("repo_id", "file_path", "lang", "rev").distinct()
@@ -154,14 +176,24 @@ def syntax_repairs(files: DataFrame) -> DataFrame:
     empty.  Exact duplicates and older revisions give no further rows.  Empty
     table: no rows.
     """
+    # several rows may hold the same revision
+    return _invalid_texts(files).mapInPandas(_repairer(compiled()), _REPAIR).dropDuplicates(["repo_id", "file_path"])
+
+
+def _invalid_texts(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, lang, content): the flagged files that no exact reader takes."""
     flagged = cut_lineage(flagged_files(files))
     size = flagged.agg(F.coalesce(F.sum(F.length("repo_id") + F.length("file_path") + 64), F.lit(0))).first()[0]
     keys = flagged.select("repo_id", "file_path", F.col("rev").alias("h"))
     if size <= MAX_BROADCAST_BYTES:
         keys = F.broadcast(keys)
     texts = revisions(files).select("repo_id", "file_path", "h", "lang", "content").join(keys, ["repo_id", "file_path", "h"], "left_semi")
-    # several rows may hold the same revision
-    return texts.mapInPandas(_repair, f"repo_id string, file_path string, {_REPAIR}").dropDuplicates(["repo_id", "file_path"])
+    return texts.where(F.pandas_udf(_refused, "boolean")("lang", "content")).select("repo_id", "file_path", "lang", "content")
+
+
+def invalid_files(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path) of ``syntax_repairs``, whose repairs are not counted out: a segment that does not derive costs an edit at least."""
+    return _invalid_texts(files).select("repo_id", "file_path").distinct()
 
 
 def _current_recorded(files: DataFrame) -> DataFrame:
@@ -178,7 +210,7 @@ def syntax_report(files: DataFrame) -> DataFrame:
     n_recorded: invalid files whose current row was recorded with has_syntax_errors.
     """
     current = _current_recorded(files)
-    found = syntax_repairs(files).select("repo_id", "file_path", F.lit(1).alias("bad"))
+    found = invalid_files(files).withColumn("bad", F.lit(1))
     j = current.join(found, ["repo_id", "file_path"], "left")
     return j.groupBy("repo_id", "lang").agg(
         F.count(F.lit(1)).alias("n_files"), F.count("bad").alias("n_invalid"), (F.count("bad") / F.count(F.lit(1))).alias("rate"),

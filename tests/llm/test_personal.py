@@ -41,6 +41,8 @@ def corpus():
             docs.append((n, f"I asked {g} {f} about the lock. Write to {ps.fold(g)}.{ps.fold(f)}@example.org if it comes back."))
     for i in range(60):
         docs.append((100 + i, f"Grace Period timers and Mark Sweep passes are unrelated. Use a Bloom Filter or a Merge Sort here. The mark {i} gets a grace period."))
+    for i in range(40):  # text without names, as most text is
+        docs.append((200 + i, f"the job reads block {i} of every file and writes it back in order; " * 6))
     docs += [
         (900, "Thanks to Ada K. Byronwick for the trace. Owner: Velmström, Zoë"), (901, "Signed: MARK QUILLSBY, Otto van Hopperdahl, Ada O'Byronwick, Ada Quillsby-Velmström"),
         (902, "I asked Ines Newdahl about the lock.\nThe id 123456789 is no number of a person."), (903, None), (904, ""), (905, "x" * 60000), (906, "I asked Ada Byronwick about the lock. Ada Byronwick again."), (906, "I asked Ada Byronwick about the lock. Ada Byronwick again."),
@@ -91,3 +93,18 @@ def test_names_in_any_letter_case(spark):
     df = spark.createDataFrame([(a, b, "z", 1) for a, b in corpus() + extra], DOC)
     got = {(r.doc_id, r.found_text) for r in ps.find_personal(df).where("doc_id >= 950").collect()}
     assert got == {(950, "ada byronwick"), (951, "ADA BYRONWICK"), (952, "byronwick, ada k."), (952, "otto van hopperdahl"), (953, "ada Byronwick"), (953, "zoë velmström")}
+
+
+def test_copies_count_once(spark):
+    """A text under many ids makes its names no commoner, and each id gets its rows."""
+    copies = [(2000 + i, "I asked Ines Newdahl about the lock.\nThe id 123456789 is no number of a person.") for i in range(400)]
+    df = spark.createDataFrame([(a, b, "z", 1) for a, b in corpus() + copies], DOC)
+    got = ps.find_personal(df).where("doc_id >= 2000 or doc_id = 902").collect()
+    assert len(got) == 401 and {r.found_text for r in got} == {"Ines Newdahl"}
+
+
+def test_many_particles_and_far_contexts():
+    text = "von " * 3 + "x"
+    assert ps.name_pairs("Otto A. van der von der zu van Hopperdahl", [])[0][2:] == ("Otto", "Hopperdahl") and ps.name_pairs(text, []) == []
+    long = "w" * 300 + " " * 200
+    assert ps._left(long + "Ada", len(long)) == ("w" * 300, "^ " + "w" * 300) and ps._right("Ada" + " " * 200 + "z" * 300 + " y", 3) == "z" * 300 + " y"
