@@ -352,10 +352,20 @@ def _small_candidates(mask: bytes):
 
 
 def _look_up(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """left join with ``right`` (unique by keys); its heavy keys by weight, whose sum is total at most, are broadcast: 1/HOT_SHARE of them at most."""
+    """left join with ``right`` (unique by keys, texts): its heavy keys by weight, whose sum is total at most, are broadcast: 1/HOT_SHARE of them at most.
+
+    Rows that found their key there are spread in the shuffle for the others.
+    """
     heavy = F.col(weight) >= HOT_SHARE * total
-    hot = F.broadcast(right.where(heavy).drop(weight))
-    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(right.where(~heavy).drop(weight), keys, "left"))
+    values = [c for c in right.columns if c not in (*keys, weight)]
+    hot = F.broadcast(right.where(heavy).select(*keys, *[F.col(v).alias(f"_h_{v}") for v in values], F.lit(True).alias("_hit")))
+    rest = right.where(~heavy).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(v).alias(f"_r_{v}") for v in values])
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("string"))
+    found = left.join(hot, keys, "left").withColumn("_first", F.when(F.col("_hit"), spread).otherwise(F.col(keys[0])))
+    same = F.col("_first") == F.col(f"_k_{keys[0]}")
+    for k in keys[1:]:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    return found.join(rest, same, "left").select(*left.columns, *[F.coalesce(f"_h_{v}", f"_r_{v}").alias(v) for v in values])
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
