@@ -129,7 +129,7 @@ def javascript_functions(path: str, text: str) -> list[tuple[str, str, str, str
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
-    """(repo_id, file_path, qualified_name, source, params, doc) of the functions in the current content of each file.
+    """(repo_id, file_path, qualified_name, source, params, doc, at) of the functions in the current content of each file; at counts them in a file.
 
     files: repo_id, file_path, content, parsed_at.  Files that do not parse are
     lexed as far as they go; empty files have no functions; a name defined twice
@@ -141,11 +141,11 @@ def extract_functions(files: DataFrame) -> DataFrame:
             rows = []
             for repo, path, at, h, lang, text in b[["repo_id", "file_path", "parsed_at", "h", "lang", "content"]].itertuples(index=False):
                 found = python_functions(path, text) if lang == "python" else javascript_functions(path, text)
-                rows.append((repo, path, at, h, [{"qualified_name": q, "source": s, "params": p, "doc": d} for q, s, p, d in found]))
+                rows.append((repo, path, at, h, [{"qualified_name": q, "source": s, "params": p, "doc": d, "at": i} for i, (q, s, p, d) in enumerate(found)]))
             yield pd.DataFrame(rows, columns=["repo_id", "file_path", "parsed_at", "h", "fns"])
 
     src = revisions(files).where(F.col("lang").isin("python", "javascript"))
-    schema = "repo_id string, file_path string, parsed_at timestamp_ntz, h bigint, fns array<struct<qualified_name:string,source:string,params:string,doc:string>>"
+    schema = "repo_id string, file_path string, parsed_at timestamp_ntz, h bigint, fns array<struct<qualified_name:string,source:string,params:string,doc:string,at:bigint>>"
     all_rev = src.withColumn("parsed_at", F.col("parsed_at").cast("timestamp_ntz")).mapInPandas(run, schema)
     return keep_current(all_rev).select("repo_id", "file_path", F.explode("fns").alias("f")).select("repo_id", "file_path", "f.*")
 
@@ -248,18 +248,24 @@ def latest_rows(nodes: DataFrame) -> DataFrame:
 
 
 def documented_pairs(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """(entity_id, repo_id, file_path, qualified_name, source, docstring) of the functions whose documentation says something.
+    """(entity_id, repo_id, file_path, qualified_name, source, docstring, attached) of the functions whose documentation says something.
 
     nodes: id, repo_id, qualified_name, file_path, docstring, observed_at;
-    files: repo_id, file_path, content, parsed_at.  source is null where the
-    current content of the file has no such function (renamed, or file unknown).
-    The first of several definitions of a name counts.  Empty tables: no rows.
+    files: repo_id, file_path, content, parsed_at.  Functions come from the
+    current files with the documentation attached there, and are matched with the
+    latest row of their entity, whose docstring counts; attached tells whether it
+    is the text that stands at the function.  Entities with no function in the
+    current content (renamed, or file unknown) come by their stored row alone:
+    source and attached are null.  The first of several definitions of a name
+    counts.  Empty tables: no rows.
     """
+    key = ["repo_id", "file_path", "qualified_name"]
     last = latest_rows(nodes).where(F.length(F.trim("docstring")) > 0)
-    code = (
-        extract_functions(files).groupBy("repo_id", "file_path", "qualified_name")
-        .agg(F.min(F.struct("source", "params")).alias("c")).select("repo_id", "file_path", "qualified_name", "c.source", "c.params")
-    )
+    read = extract_functions(files).groupBy(*key).agg(F.min_by(F.struct("source", "params", "doc"), "at").alias("c")).select(*key, "c.*")
+
+    def plain(text: str):
+        return F.lower(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")))
+
     says = F.pandas_udf(informative_batch, "boolean")
-    joined = last.join(code, ["repo_id", "file_path", "qualified_name"], "left")
-    return joined.where(says("docstring", "qualified_name", "params")).select("entity_id", "repo_id", "file_path", "qualified_name", "source", "docstring")
+    pairs = read.join(last, key, "right").withColumn("attached", F.when(F.col("source").isNotNull(), F.coalesce(plain("doc") == plain("docstring"), F.lit(False))))
+    return pairs.where(says("docstring", "qualified_name", "params")).select("entity_id", *key, "source", "docstring", "attached")

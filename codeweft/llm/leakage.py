@@ -22,6 +22,8 @@ SHINGLE_WORDS = 5
 RUN_WORDS = 20
 #: Shingles of the items are broadcast up to this many rows (24 bytes each); beyond it they are joined by shuffle.
 MAX_BROADCAST_SHINGLES = 500_000
+#: Ids of documents with candidates are broadcast up to this many (8 bytes each); beyond it they are joined by shuffle.
+MAX_BROADCAST_DOCS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -37,16 +39,18 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _word_hashes(ws: list[str], seen: dict[str, int]) -> np.ndarray:
-    if len(seen) > 1_000_000:
-        seen.clear()
-    out = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        h = seen.get(w)
-        if h is None:
-            h = seen[w] = xxhash.xxh3_64_intdigest(w)
-        out[i] = h
-    return out
+class WordHashes(dict):
+    """Word to hash, remembered; bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def word_hashes(ws: list[str], seen: WordHashes) -> np.ndarray:
+    return np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws))
 
 
 def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -65,9 +69,9 @@ def shingle_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_words, shingles ARRAY<BIGINT>) in word order; texts of fewer than five words have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
+        seen = WordHashes()
         for b in batches:
-            h = [_word_hashes(words(t), seen) for t in b["_text"]]
+            h = [word_hashes(words(t), seen) for t in b["_text"]]
             yield pd.DataFrame({"_id": b["_id"], "n_words": [len(x) for x in h], "shingles": [shingle_hashes(x, SHINGLE_WORDS) for x in h]})
 
     src = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -75,23 +79,33 @@ def shingle_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumnRenamed("_id", id_col)
 
 
-def _verify(doc: pd.Series, item: pd.Series, diagonals: pd.Series) -> pd.Series:
-    """Longest common run of words on any of the candidate diagonals (document position less item position)."""
+def _longest(a: list[str], b: list[str], diagonals: list[int]) -> int:
+    """Longest common run of words on any of the diagonals (position in a less position in b)."""
+    best = 0
+    for o in diagonals:
+        run = 0
+        for j in range(max(0, -o), min(len(b), len(a) - o)):
+            run = run + 1 if a[j + o] == b[j] else 0
+            best = max(best, run)
+    return best
+
+
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every document is split into words once, whatever the number of its candidate items."""
     memo: dict[str, list[str]] = {}
-    out = []
-    for d, t, offs in zip(doc, item, diagonals):
-        if t not in memo:
-            if len(memo) > 2000:
-                memo.clear()
-            memo[t] = words(t)
-        a, b, best = words(d), memo[t], 0
-        for o in offs:
-            run = 0
-            for j in range(max(0, -o), min(len(b), len(a) - o)):
-                run = run + 1 if a[j + o] == b[j] else 0
-                best = max(best, run)
-        out.append(best)
-    return pd.Series(out, dtype="int64")
+    for batch in batches:
+        rows = []
+        for doc_id, text, cands in zip(batch["doc_id"], batch["_doc"], batch["cands"]):
+            a = words(text)
+            for c in cands:
+                if c["item"] not in memo:
+                    if len(memo) > 2000:
+                        memo.clear()
+                    memo[c["item"]] = words(c["item"])
+                run = _longest(a, memo[c["item"]], c["diagonals"])
+                if run >= RUN_WORDS:
+                    rows.append((doc_id, c["item_id"], run))
+        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run_words"])
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -106,7 +120,8 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     item_sh = shingle_rows(items.where(F.col("text").isNotNull()), "item_id", "text").where(F.col("n_words") >= RUN_WORDS)
     item_pos = item_sh.select("item_id", F.posexplode("shingles").alias("ipos", "h"))
     wanted = item_pos.select("h").distinct()
-    if wanted.limit(MAX_BROADCAST_SHINGLES + 1).count() <= MAX_BROADCAST_SHINGLES:
+    few = item_pos.limit(MAX_BROADCAST_SHINGLES + 1).count() <= MAX_BROADCAST_SHINGLES
+    if few:
         wanted = F.broadcast(wanted)
     hits = (
         shingle_rows(docs.where(F.col("text").isNotNull()), "doc_id", "text").where(F.col("n_words") >= RUN_WORDS)
@@ -122,15 +137,17 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         win.groupBy("item_id", "start").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("df", "ipos", "h")).alias("r"))
         .where(F.col("n") == need).select("item_id", F.col("r.ipos").alias("ipos"), F.col("r.h").alias("h")).distinct()
     )
-    cand = (
-        hits.join(prefix, "h")
-        .select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diag"))
-        .groupBy("doc_id", "item_id").agg(F.collect_set("diag").alias("diagonals"))
-    )
-    run = F.pandas_udf(_verify, "bigint").asNondeterministic()  # evaluated once, not for the filter and the result each
-    texts = docs.select("doc_id", F.col("text").alias("_doc")).join(cand, "doc_id")
-    full = texts.join(items.select("item_id", F.col("text").alias("_item")), "item_id")
-    return full.select("doc_id", "item_id", run("_doc", "_item", "diagonals").alias("run_words")).where(F.col("run_words") >= RUN_WORDS)
+    if few:  # no more rows than shingles of the items: phrases found all over the corpus need no shuffle
+        prefix = F.broadcast(prefix)
+    pairs = hits.join(prefix, "h").groupBy("doc_id", "item_id").agg(F.collect_set((F.col("dpos") - F.col("ipos")).cast("long")).alias("diagonals"))
+    pairs = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id")
+    cand = _kept(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "diagonals")).alias("cands")))
+    ids = cand.select("doc_id")
+    if cand.count() <= MAX_BROADCAST_DOCS:
+        ids = F.broadcast(ids)
+    # only documents with candidates are read again, and shuffled
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_doc")).join(ids, "doc_id", "left_semi")
+    return texts.join(cand, "doc_id").mapInPandas(_verify, "doc_id bigint, item_id bigint, run_words bigint")
 
 
 def _kept(df: DataFrame) -> DataFrame:

@@ -17,19 +17,32 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from codeweft.sources.tables import cut_lineage
+
 CAPACITY = 2048
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MAX_VOCABULARY_BYTES = 32 << 20
+#: Pieces of one length that are ranked in one task, about.
+BLOCK_PIECES = 500_000
 TOKENIZER_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = TOKENIZER_FILE) -> DataFrame:
-    """(id, n_tokens) with the byte-level BPE in ``path``; null and empty texts have 0 tokens."""
+    """(id, n_tokens) with the byte-level BPE in ``path``, a file of the driver; null and empty texts have 0 tokens.
+
+    The vocabulary is broadcast: a file of some 50,000 tokens is under 1 MB, and
+    one of over MAX_VOCABULARY_BYTES is refused.
+    """
+    with open(path, "rb") as f:
+        data = f.read(MAX_VOCABULARY_BYTES + 1)
+    if len(data) > MAX_VOCABULARY_BYTES:
+        raise ValueError(f"a vocabulary has at most {MAX_VOCABULARY_BYTES} bytes")
+    vocabulary = df.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         enc = tiktoken.Encoding("own", pat_str=TOKENIZER_PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             yield pd.DataFrame({"_id": b["_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["_text"]]})
@@ -129,18 +142,19 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[i
     return plan
 
 
-def _ranked(parts: DataFrame, id_col: str) -> DataFrame:
+def _ranked(parts: DataFrame, id_col: str, histogram: dict[int, int]) -> DataFrame:
     """rank 0.. of every piece within its length, without gathering a length in one task.
 
-    Pieces are hashed over blocks by id; ranks run within (length, block), and the
-    blocks of a length are put one after the other by the sums of their counts.
+    Pieces are hashed over blocks by id, as many for a length as its count needs;
+    ranks run within (length, block), and the blocks of a length are put one after
+    the other by the sums of their counts.
     """
-    blocks = 64
-    p = parts.withColumn("_b", F.pmod(F.xxhash64(id_col, "piece"), F.lit(blocks)).cast("int"))
+    spark = parts.sparkSession
+    blocks = F.broadcast(spark.createDataFrame([(k, -(-v // BLOCK_PIECES)) for k, v in histogram.items()], "piece_tokens bigint, _k bigint"))  # at most ``capacity`` rows
+    p = parts.join(blocks, "piece_tokens").withColumn("_b", F.pmod(F.xxhash64(id_col, "piece"), F.col("_k"))).drop("_k")
     n = p.groupBy("piece_tokens", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = n.withColumn("_off", F.sum("_n").over(Window.partitionBy("piece_tokens").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
     r = p.withColumn("_r", F.row_number().over(Window.partitionBy("piece_tokens", "_b").orderBy(id_col, "piece")) - 1)
-    # at most capacity x blocks rows
     return r.join(before.select("piece_tokens", "_b", F.coalesce("_off", F.lit(0)).alias("_off")), ["piece_tokens", "_b"]).withColumn("rank", F.col("_off") + F.col("_r")).drop("_b", "_r", "_off")
 
 
@@ -152,7 +166,7 @@ def pack(lengths: DataFrame, id_col: str, capacity: int = CAPACITY) -> DataFrame
     their ids, so a rerun packs alike.  Rows with the same id are items each for
     itself only if the ids differ: ids must be unique.  Empty input: no rows.
     """
-    parts = pieces(lengths, id_col, capacity)
+    parts = cut_lineage(pieces(lengths, id_col, capacity))  # read three times: the texts are measured once
     hist = {int(k): int(v) for k, v in parts.groupBy("piece_tokens").count().collect()}  # at most ``capacity`` rows
     rows, base, used = [], 0, {}
     for pattern, times in packing_plan(hist, capacity):
@@ -168,7 +182,7 @@ def pack(lengths: DataFrame, id_col: str, capacity: int = CAPACITY) -> DataFrame
         by_len.setdefault(x, []).append((lo, hi, k, b))
     plan = spark.createDataFrame(list(by_len.items()), "piece_tokens bigint, slots array<struct<lo:bigint,hi:bigint,k:bigint,base:bigint>>") if by_len else spark.createDataFrame([], "piece_tokens bigint, slots array<struct<lo:bigint,hi:bigint,k:bigint,base:bigint>>")
     slot = F.filter("slots", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0]
-    placed = _ranked(parts, id_col).join(F.broadcast(plan), "piece_tokens").withColumn("_s", slot)  # at most ``capacity`` rows of a few slots
+    placed = _ranked(parts, id_col, hist).join(F.broadcast(plan), "piece_tokens").withColumn("_s", slot)  # at most ``capacity`` rows of a few slots
     return placed.select(id_col, "piece", "piece_tokens", (F.col("_s.base") + F.floor((F.col("rank") - F.col("_s.lo")) / F.col("_s.k"))).cast("long").alias("container_id"))
 
 

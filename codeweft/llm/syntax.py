@@ -188,7 +188,8 @@ def _invalid_texts(files: DataFrame) -> DataFrame:
     if size <= MAX_BROADCAST_BYTES:
         keys = F.broadcast(keys)
     texts = revisions(files).select("repo_id", "file_path", "h", "lang", "content").join(keys, ["repo_id", "file_path", "h"], "left_semi")
-    return texts.where(F.pandas_udf(_refused, "boolean")("lang", "content")).select("repo_id", "file_path", "lang", "content")
+    refused = F.pandas_udf(_refused, "boolean").asNondeterministic()  # else it is pushed below the join and every file is read
+    return texts.where(refused("lang", "content")).select("repo_id", "file_path", "lang", "content")
 
 
 def invalid_files(files: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
 import random
 
-import pandas as pd
 
 from codeweft.llm import leakage as lk
 from conftest import rows
@@ -66,5 +65,5 @@ def test_empty_tables_and_report(spark):
 
 
 def test_verify_finds_the_longest_run():
-    a = " ".join("abcdefghij")
-    assert lk._verify(pd.Series([a, a]), pd.Series(["c d e x g h", "zz"]), pd.Series([[2, 0], [0]])).tolist() == [3, 0]
+    a = list("abcdefghij")
+    assert [lk._longest(a, b, d) for b, d in ((["c", "d", "e", "x", "g", "h"], [2, 0]), (["zz"], [0]))] == [3, 0]

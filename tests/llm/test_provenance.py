@@ -26,8 +26,11 @@ def test_evidence(text, kind):
 def test_attribute_rules_and_globs():
     r = pv.attribute_rules("lib", "# c\n*.gen.py linguist-generated=true\nold/ linguist-vendored\nkeep/x.py -linguist-vendored\n[bad\nz/**/q.py generated=false text\n\n")
     assert [(x["attr"], x["value"]) for x in r] == [("generated", True), ("vendored", True), ("vendored", False), ("generated", False)]
+    more = pv.attribute_rules("", '[attr]tool linguist-generated -text\n"a b.py" tool\n*.x !linguist-generated\n*.y generated=unset\n!*.z generated\n')
+    assert [(x["attr"], x["value"]) for x in more] == [("generated", True), ("generated", None), ("generated", False)]
     import re
 
+    assert re.search(more[0]["pattern"], "q/a b.py")
     hit = lambda p, s: bool(re.search(pv._glob(p), s))
     assert hit("*.js", "a/b.js") and not hit("/*.js", "a/b.js") and hit("a/**", "a/b/c") and hit("**/b/*.py", "x/b/c.py") and hit("a/**/c", "a/c") and not hit("a?", "a/") and hit("[!x]y", "zy") and hit("d/", "d/e/f")
 
@@ -70,6 +73,57 @@ def test_copies_of_upstream_files(spark):
     assert found(spark, data, [("p", "1.0", "x.py", LONG), ("p", "1.0", "n.py", None), ("p", "1.0", "e.py", "")]) == {("r", "a/x.py"): "upstream", ("r", "a/y.py"): "upstream", ("q", "z.py"): "upstream"}
 
 
+def test_size_and_place_of_the_evidence():
+    licence = "".join(f"# Line {i} of the licence of this project.\n" for i in range(300))
+    assert pv.evidence(licence + "# @generated by tool\nx = 1\n") == "generated"
+    prose = '"""' + "".join(f"Paragraph {i} tells what the package is for, at some length, and in plain words.\n" for i in range(70)) + '"""\n'
+    assert pv.evidence(prose) is None and pv.evidence(prose + HAND) is None
+    noted = "".join(f"# The {i}. setting, and what it is good for when it is set.\nLIMIT_{i} = {i}\n" for i in range(40))
+    assert pv.evidence(noted) is None
+    assert pv.evidence("!function(){" + "function a(b,c){return c?b:7}" * 60 + "}();") == "minified" and pv.evidence("T = {'a': 1, 'b': 2}\n") is None
+
+
+def test_unspecified_again_falls_to_the_content(spark):
+    gen = "# @generated\nx = 1\n"
+    data = [("r", ".gitattributes", "*.py -linguist-generated\nb.py !linguist-generated\n", T[0]), ("r", "a.py", gen, T[0]), ("r", "b.py", gen, T[0])]
+    assert found(spark, data) == {("r", "b.py"): "generated"}
+
+
+def test_shortened_and_embedded_copies(spark):
+    half = LONG[: int(len(LONG) * 0.75)]
+    data = [("r", "short.py", half, T[0]), ("r", "more.py", LONG + LONG.replace("value", "other").replace("step", "walk").replace("raise", "return"), T[0]), ("r", "one.py", "x = 1\n", T[0]), ("r", "two.py", "import os\nimport os.path\n", T[0])]
+    assert found(spark, data, [("p", "1", "x.py", LONG), ("p", "1", "i.py", "x = 1\n")]) == {("r", "short.py"): "upstream", ("r", "one.py"): "upstream"}
+
+
+def test_copies_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    ups = [" ".join(rnd.choice(vocabulary) for _ in range(60)) for _ in range(6)]
+    texts = []
+    for u in ups:
+        for change in (0, 1, 2, 4, 8):
+            w = u.split()
+            for _ in range(change):
+                w[rnd.randrange(len(w))] = "changed"
+            texts.append(" ".join(w[: rnd.choice([60, 50, 40])]))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want = set()
+    for i, t in enumerate(texts):
+        for u in ups:
+            a, b = shingles(t), shingles(u)
+            n = len(a & b)
+            if n and (n >= 0.8 * len(a | b) or (n >= 0.8 * len(a) and n >= 0.6 * len(b))):
+                want.add(("r", f"{i}.py"))
+    got = found(spark, [("r", f"{i}.py", t, T[0]) for i, t in enumerate(texts)], [("p", "1", f"{i}", u) for i, u in enumerate(ups)])
+    assert {k for k, v in got.items() if v == "upstream"} == want and 5 < len(want) < 30
+
+
 def test_empty_tables(spark):
     assert pv.not_by_hand(files(spark, [("r", "a.py", "", T[0])]).limit(0), upstream(spark)).count() == 0
     assert rows(pv.provenance_report(files(spark, [("r", "a.py", "# @generated\n", T[0])]), upstream(spark))) == [("r", "generated", 1)]
