@@ -144,9 +144,10 @@ def evidence(text: str) -> str | None:
         return "data"
     if n / len(lines) >= 150 and blank < 0.13 * n and names + numbers + strings >= MANY_LITERALS:
         return "minified" if keywords * 1000 >= 1.0 * n or letters > 0.1 * n else "data"
-    shapes = Counter(x for x in shaped.translate(_NO_BLANKS).split("\n") if "N" in x and ("(" in x or "{" in x))  # rows of a table and constants may be anybody's
+    shapes = Counter(x for x in shaped.translate(_NO_BLANKS).split("\n") if "N" in x)  # rows of a table are data, if enough of them
     total = sum(shapes.values())
-    if total >= MANY_LINES and len(shapes) <= 0.25 * total and sum(k for _, k in shapes.most_common(3)) >= 0.6 * total:  # the same few lines over and over
+    often = sum(k for x, k in shapes.most_common(3) if "(" in x or "{" in x)  # constants may be anybody's
+    if total >= MANY_LINES and len(shapes) <= 0.25 * total and often >= 0.6 * total:  # the same few lines over and over
         return "generated"
     if len(_STUB.findall(text)) >= 3:
         return "generated"
