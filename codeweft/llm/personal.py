@@ -417,8 +417,9 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
     def with_context(c: DataFrame) -> DataFrame:
         c = c.drop("ctx")
+        sure = c.where("sure").select("kind", "left1", "left2", "right2")
         for col in ("left1", "left2", "right2"):
-            per = c.where("sure").groupBy("kind", col).agg(F.count(F.lit(1)).alias("_s"))
+            per = sure.groupBy("kind", col).agg(F.count(F.lit(1)).alias("_s"))
             per = per.join(sizes[col], ["kind", col]).select("kind", col, (F.col("_s") / (F.col("_n") + 1)).alias(f"_{col}"), "_n")
             c = _look_up(c, per, ["kind", col], "_n", n_names + n_others)
         c = c.withColumn("ctx", F.greatest(*[F.coalesce(F.col(f"_{x}"), none) for x in ("left1", "left2", "right2")]))
