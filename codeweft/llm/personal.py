@@ -406,24 +406,22 @@ def find_personal(docs: DataFrame) -> DataFrame:
     rare = (F.col("df") <= RARE_PAIR) | (F.col("df") <= F.lit(n_texts / 2.0**PAIR_BITS))
     # Words that differ but in case from running text are no names; pairs not in capitals come in below.
     pair = cut_lineage(pair.where(proper).select("given", "family", "df", F.coalesce("g", F.lit(-99.0)).alias("g"), F.coalesce("f", F.lit(-99.0)).alias("f"), rare.alias("rare")))
-    names = _look_up(cand.where(person), pair, ["given", "family"], "df", n_names).where("rare IS NOT NULL")
+    # Pairs whose words cannot be names stay, as they count in their contexts.
+    names = _look_up(cand.where(person), pair, ["given", "family"], "df", n_names)
     known = ((F.col("f") >= TERM_TOLD) & (F.col("g") > -99)) | (F.col("right2") == "<mail>")
-    names = names.withColumn("sure", known).withColumn("open", F.col("rare"))
+    names = names.withColumns({"sure": F.col("rare").isNotNull() & known, "open": F.coalesce("rare", F.lit(False))})
     others = cand.where(~person).withColumns({"g": none, "f": none, "rare": F.lit(False), "open": F.lit(True)})
-    # All pairs count in a context, whether or not their words can be names.
-    seen = cand.where(person).select("kind", "left1", "left2", "right2").unionByName(others.select("kind", "left1", "left2", "right2"))
-    sizes = {col: cut_lineage(seen.groupBy("kind", col).agg(F.count(F.lit(1)).alias("_n"))) for col in ("left1", "left2", "right2")}
-    cand = cut_lineage(names.unionByName(others))
+    cand = cut_lineage(names.unionByName(others).withColumn("cid", F.monotonically_increasing_id()))
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("said")) for c in ("left1", "left2", "right2")]))
 
     def with_context(c: DataFrame) -> DataFrame:
+        """ctx: the greatest share of sure candidates among those with the same word before, two words before, or words after."""
         c = c.drop("ctx")
-        sure = c.where("sure").select("kind", "left1", "left2", "right2")
-        for col in ("left1", "left2", "right2"):
-            per = sure.groupBy("kind", col).agg(F.count(F.lit(1)).alias("_s"))
-            per = per.join(sizes[col], ["kind", col]).select("kind", col, (F.col("_s") / (F.col("_n") + 1)).alias(f"_{col}"), "_n")
-            c = _look_up(c, per, ["kind", col], "_n", n_names + n_others)
-        c = c.withColumn("ctx", F.greatest(*[F.coalesce(F.col(f"_{x}"), none) for x in ("left1", "left2", "right2")]))
-        return c.drop("_left1", "_left2", "_right2")
+        at = c.select("cid", "kind", "sure", sides.alias("s")).select("cid", "kind", "sure", "s.side", "s.said")
+        per = at.groupBy("kind", "side", "said").agg(F.count_if("sure").alias("_s"), F.count(F.lit(1)).alias("_n")).where("_s > 0")
+        per = per.select("said", "kind", "side", (F.col("_s") / (F.col("_n") + 1)).alias("_share"), "_n")
+        best = _look_up(at.drop("sure"), per, ["said", "kind", "side"], "_n", n_names + n_others).groupBy("cid").agg(F.max("_share").alias("ctx"))
+        return c.join(best, "cid", "left").withColumn("ctx", F.coalesce("ctx", none))
 
     accepted = F.col("open") & ((F.col("ctx") >= CONTEXT_DISCLOSURE) | ((F.col("kind") == "person_name") & (F.col("g") >= GIVEN_TOLD)))
     # Contexts of what is beyond doubt reveal more, and the contexts of that yet more.
