@@ -25,17 +25,18 @@ MAX_BROADCAST_SHINGLES = 500_000
 #: Ids of documents with candidates are broadcast up to this many (8 bytes each); beyond it they are joined by shuffle.
 MAX_BROADCAST_DOCS = 2_000_000
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _ASCII_WORD = re.compile(r"[^\W_]+"), re.compile(r"[a-z0-9]+")
 
 
 def words(text: str | None) -> list[str]:
     """Maximal runs of letters and digits after NFKC, without case and without invisible format characters."""
     if not text:
         return []
-    if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-        text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
-        text = unicodedata.normalize("NFKC", text.casefold())
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+    text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    text = unicodedata.normalize("NFKC", text.casefold())
     return _WORD.findall(text.lower())
 
 

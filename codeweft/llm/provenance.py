@@ -73,7 +73,7 @@ _STRING = re.compile(r"(?:\b[rRbBuUfF]{1,2})?(?:'''.*?(?:'''|\Z)|\"\"\".*?(?:\"\
 #: Strings that are statements of their own: documentation.
 _DOCUMENTATION = re.compile(r"^[ \t]*[rRuU]?(?:'''.*?'''|\"\"\".*?\"\"\")[ \t]*$", re.M | re.S)
 _COMMENT = re.compile(r"(?m)(?:#|//)[^\n]*$|/\*.*?\*/", re.S)
-_KEYWORD = re.compile(r"\b(?:def|class|return|if|elif|else|for|while|function|import|from|const|let|var|try|except|raise|throw|with|yield|assert|lambda|async|await|exports)\b|=>")
+_KEYWORDS = frozenset("def class return if elif else for while function import from const let var try except raise throw with yield assert lambda async await exports".split())
 _NAME, _NUMBER = re.compile(r"[A-Za-z_$][\w$]*"), re.compile(r"\b\d[\w.]*")
 _NO_BLANKS = dict.fromkeys(map(ord, " \t\r\f"))
 _STUB = re.compile(r"(?:\"\"\"|''')(?:auto-?generated \w+|generated \w+)\.?(?:\"\"\"|''')", re.I)
@@ -121,7 +121,7 @@ def evidence(text: str) -> str | None:
     for line in head:
         if _RELEASE.match(line):
             return "vendored"
-    if sum(map(len, _ESCAPED.findall(text))) > 0.4 * len(text):
+    if text.count("\\x") >= 8 and sum(map(len, _ESCAPED.findall(text))) > 0.4 * len(text):
         return "generated"
     if _MIGRATION.search(text):
         return "generated"
@@ -135,7 +135,7 @@ def evidence(text: str) -> str | None:
     if not lines:
         return None
     blank = n - sum(map(len, bare.split())) + sum(len("".join(c.split())) for c in comments)
-    keywords = len(_KEYWORD.findall(code))
+    keywords = sum(map(_KEYWORDS.__contains__, _NAME.findall(code))) + code.count("=>")
     code, numbers = _NUMBER.subn("0", code)
     shaped, names = _NAME.subn("N", code)
     letters = len(code) - len(shaped) + names + strings
