@@ -14,7 +14,7 @@ def blank_to_null(c: Column) -> Column:
 
 def normalize_path(path: Column) -> Column:
     """Forward slashes, no leading ./ or /, no empty or . segments; .. stays."""
-    p = F.regexp_replace(F.translate(F.trim(path), "\\", "/"), r"^(?:\./+|/+)", "")
+    p = F.regexp_replace(F.translate(F.regexp_replace(path, r"^\s+|\s+$", ""), "\\", "/"), r"^(?:\./+|/+)", "")
     return F.array_join(F.filter(F.split(p, "/"), lambda x: (x != "") & (x != ".")), "/")
 
 
@@ -52,10 +52,42 @@ def module_info(path: Column) -> tuple[Column, Column]:
 
 
 def match_score(text: Column, q: str) -> Column:
-    """100 equal, 80 prefix, 65 after a boundary, 50 anywhere, 0 not at all; letter case aside."""
+    """100 equal, 80 prefix, 65 after one of . _ / : or a blank, 50 anywhere, 0 not at all; letter case aside."""
     t, q = F.lower(text), q.lower()
-    after = None
-    for sep in "._/: ":
-        hit = t.contains(sep + q)
-        after = hit if after is None else after | hit
-    return F.when(text.isNull(), 0).when(t == q, 100).when(t.startswith(q), 80).when(after, 65).when(t.contains(q), 50).otherwise(0)
+    quoted = "\\Q" + q.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return F.when(text.isNull(), 0).when(t == q, 100).when(t.startswith(q), 80).when(t.rlike("[._/:\\s]" + quoted), 65).when(t.contains(q), 50).otherwise(0)
+
+
+def short_name(id_: Column) -> Column:
+    """What follows the last :: of an id, or else the last / of a path."""
+    clean = F.trim(F.coalesce(id_, F.lit("")))
+    return F.when(clean.contains("::"), F.element_at(F.split(clean, "::"), -1)).otherwise(F.element_at(F.split(clean, "/"), -1))
+
+
+def is_leaf(label: Column) -> Column:
+    """Is it an entity that contains none?"""
+    return F.lower(F.trim(F.coalesce(label, F.lit("")))).isin("method", "import")
+
+
+def encode_path(path: Column) -> Column:
+    """Every segment of a path encoded for a URL; the slashes stay."""
+    out = F.url_encode(path)
+    # the function encodes forms: blanks as +, and some marks that stand as they are in a path
+    for code, sign in (("+", "%20"), ("%2F", "/"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
+# Colours of the text on a badge by label, and of the line of an edge by type; the last is for all others.
+BADGES = {"repository": "#c084fc", "file": "#60a5fa", "module": "#22d3ee", "class": "#a5b4fc", "function": "#34d399", "method": "#2dd4bf", "import": "#fbbf24", "": "#cbd5e1"}
+STROKES = {"CONTAINS": "#64748b", "IMPORTS": "#60a5fa", "CALLS": "#34d399", "INHERITS": "#fbbf24", "": "#94a3b8"}
+
+
+def style(key: Column, table: dict[str, str]) -> Column:
+    """The value of a key in a table of styles, the one of '' for keys it does not have."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key], F.lit(table[""]))
+
+
+def scalar_metadata(metadata: Column) -> Column:
+    """The entries of a map that have a value: nulls are no properties of a stored edge."""
+    return F.map_filter(metadata, lambda _, v: v.isNotNull())

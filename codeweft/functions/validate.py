@@ -11,13 +11,13 @@ LABELS = ("Repository", "File", "Module", "Class", "Function", "Method", "Import
 
 
 def repository_path(path: str | None, forbidden: tuple[str, ...] = SYSTEM_DIRS) -> Path:
-    """An existing folder that is neither the root nor one of ``forbidden``."""
+    """An existing folder that is neither the root nor one of ``forbidden``, under whatever name."""
     if path is None or not str(path).strip():
         raise ValueError("a path is needed")
     p = Path(str(path).strip()).resolve()
     if not p.is_dir():
         raise ValueError(f"no folder: {p}")
-    if p == Path(p.anchor) or str(p) in forbidden:
+    if p == Path(p.anchor) or p in {Path(x).resolve() for x in forbidden} or str(p) in forbidden:
         raise ValueError(f"not to be scanned: {p}")
     return p
 
@@ -56,3 +56,11 @@ def label(text: str | None) -> str | None:
         if x.lower() == text.strip().lower():
             return x
     raise ValueError(f"unknown label: {text}")
+
+
+def direction(text: str | None) -> str:
+    """incoming, outgoing or both; blank means both."""
+    clean = (text or "both").strip().lower() or "both"
+    if clean not in ("incoming", "outgoing", "both"):
+        raise ValueError("direction is incoming, outgoing or both")
+    return clean

@@ -1,8 +1,8 @@
 """Definitions, imports and reference facts of Python files: one table function, everything after it is joins.
 
-Files that do not parse are read block by block: blocks that begin at the left
-margin and parse by themselves still give their facts, the others are blanked so
-that lines and bytes stay where they are.
+Files that do not parse are read block by block: of a block that does not parse
+its inner blocks are tried, down to single statements; what does not parse is
+blanked so that lines and bytes stay where they are, and told as an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ SCHEMA = (
     "repo_id string, file_path string, has_syntax_errors boolean, end_line bigint, end_byte bigint, "
     f"defs array<struct<kind:string,name:string,qname:string,parent:string,parent_kind:string,docstring:string,ord:bigint,{_SPAN}>>, "
     f"imports array<struct<module_name:string,imported_name:string,alias:string,ord:bigint,{_SPAN}>>, "
+    "errors array<struct<message:string,node_type:string,is_missing:boolean,start_line:bigint,start_column:bigint>>, "
     "bases array<struct<cls:string,base:string,ord:bigint>>, "
     "attrs array<struct<cls:string,attr:string,ctor:string,ord:bigint>>, "
     "calls array<struct<caller:string,caller_kind:string,cls:string,form:string,receiver:string,name:string,ctors:array<string>,ord:bigint>>"
@@ -47,27 +48,78 @@ def _docstring(node: ast.AST, text: str) -> str | None:
     return inspect.cleandoc(raw).strip() or None
 
 
-def parse_tolerant(text: str) -> tuple[ast.Module, str, bool]:
-    """(tree, text the tree was read from, whether something was blanked)."""
+_GOES_ON = re.compile(r"\s*(?:[)\]}]|(?:else|elif|except|finally)\b)")
+_EXPECTED = re.compile(r"expected '(.+?)'|'(.)' was never closed")
+_CLOSING = {"(": ")", "[": "]", "{": "}"}
+
+
+def _parse(text: str) -> SyntaxError | ValueError | RecursionError | None:
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return e
+    return None
+
+
+def _error(e: Exception, first_line: int) -> dict:
+    """A row of what is wrong: a missing token by its text, anything else as ERROR; lines from 1, columns from 0."""
+    message = getattr(e, "msg", None) or str(e)
+    m = _EXPECTED.search(message)
+    token = (m.group(1) or _CLOSING.get(m.group(2))) if m else None
+    line, column = getattr(e, "lineno", None) or 1, getattr(e, "offset", None) or 1
+    return {"message": message, "node_type": token or "ERROR", "is_missing": bool(token), "start_line": first_line + line - 1, "start_column": max(0, column - 1)}
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" \t"))
+
+
+def _mend(lines: list[str], a: int, b: int, indent: int, errors: list[dict]) -> None:
+    """Blanks what does not parse among the statements of lines[a:b] that begin at ``indent``."""
+    starts = [i for i in range(a, b) if lines[i].strip() and _indent(lines[i]) <= indent and not _GOES_ON.match(lines[i])]
+    starts = [s for k, s in enumerate(starts) if not (k and lines[starts[k - 1]].lstrip().startswith("@"))]
+
+    def fails(s: int, e: int, more: str = "") -> Exception | None:
+        """Does the block fail? A block inside others is read under a header of its own, which takes a line."""
+        wrong = _parse(("if 1:\n" if indent else "") + "".join(lines[s:e]) + more)
+        if wrong is not None and indent and getattr(wrong, "lineno", None):
+            wrong.lineno -= 1
+        return wrong
+
+    for s, e in zip(starts, [*starts[1:], b]):
+        wrong = fails(s, e)
+        if wrong is None:
+            continue
+        inner = next((i for i in range(s + 1, e) if lines[i].strip() and _indent(lines[i]) > indent and lines[i - 1].rstrip().endswith(":")), None)
+        if inner is not None and fails(s, inner, " " * (indent + 1) + "pass\n") is None:
+            depth, found = _indent(lines[inner]), len(errors)
+            _mend(lines, inner, e, depth, errors)
+            if fails(s, e) is not None:
+                kept = lines[inner]
+                lines[inner] = lines[inner] if lines[inner].strip() else " " * depth + "pass\n"
+                if fails(s, e) is not None:
+                    lines[inner] = kept
+            if fails(s, e) is None:
+                continue
+            del errors[found:]
+        errors.append(_error(wrong, s + 1))
+        lines[s:e] = ["\n" if x.endswith("\n") else "" for x in lines[s:e]]
+
+
+def parse_tolerant(text: str) -> tuple[ast.Module, str, list[dict]]:
+    """(tree, text the tree was read from, what was blanked)."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
+        whole = _parse(text)
+        if whole is None:
+            return ast.parse(text), text, []
+        lines, errors = text.splitlines(keepends=True), []
         try:
-            return ast.parse(text), text, False
+            _mend(lines, 0, len(lines), 0, errors)
+            kept = "".join(lines)
+            return ast.parse(kept), kept, errors or [_error(whole, 1)]
         except (SyntaxError, ValueError, RecursionError):
-            pass
-        lines = text.splitlines(keepends=True)
-        starts = [i for i, x in enumerate(lines) if x.strip() and not x[0].isspace() and not x.startswith((")", "]", "}", "else", "elif", "except", "finally"))]
-        starts = [s for k, s in enumerate(starts) if not (k and lines[starts[k - 1]].startswith("@"))]
-        for a, b in zip(starts, [*starts[1:], len(lines)]):
-            try:
-                ast.parse("".join(lines[a:b]))
-            except (SyntaxError, ValueError, RecursionError):
-                lines[a:b] = ["\n" if x.endswith("\n") else "" for x in lines[a:b]]
-        kept = "".join(lines)
-        try:
-            return ast.parse(kept), kept, True
-        except (SyntaxError, ValueError, RecursionError):
-            return ast.Module([], []), "", True
+            return ast.Module([], []), "", [_error(whole, 1)]
 
 
 class _Visitor:
@@ -181,17 +233,17 @@ class _Visitor:
 
 def file_facts(repo: str, path: str, content: str) -> dict:
     text = content.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    tree, read, broken = parse_tolerant(text)
+    tree, read, errors = parse_tolerant(text)
     data = text.encode("utf-8", "replace")
     lines = [0] + [m.end() for m in re.finditer(b"\n", data)]
     v = _Visitor(path, read, lines)
     try:
         v.walk(tree, [], {})
-    except RecursionError:
-        broken = True
+    except RecursionError as e:
+        errors = [_error(e, 1)]
     return {
-        "repo_id": repo, "file_path": path, "has_syntax_errors": broken, "end_line": max(1, len(lines)), "end_byte": len(data),
-        "defs": v.defs, "imports": v.imports, "bases": v.bases, "attrs": v.attrs, "calls": v.calls,
+        "repo_id": repo, "file_path": path, "has_syntax_errors": bool(errors), "end_line": max(1, len(lines)), "end_byte": len(data),
+        "defs": v.defs, "imports": v.imports, "errors": errors, "bases": v.bases, "attrs": v.attrs, "calls": v.calls,
     }
 
 
@@ -206,6 +258,34 @@ def extract_facts(files: DataFrame) -> DataFrame:
     return src.mapInPandas(run, SCHEMA)
 
 
+def syntax_nodes(files: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(repo_id, file_path, ord, depth, node_type, start_line, start_column, end_line): the nodes of the trees of Python files, parents first, from left to right.
+
+    types keeps nodes of these types only.  Files that do not parse give the nodes
+    of what does.
+    """
+    columns = ["repo_id", "file_path", "ord", "depth", "node_type", "start_line", "start_column", "end_line"]
+    wanted = None if types is None else set(types)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for repo, path, content in zip(b["repo_id"], b["file_path"], b["content"]):
+                tree, _, _ = parse_tolerant((content or "").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
+                todo, n = [(tree, 0)], 0
+                while todo:
+                    node, depth = todo.pop()
+                    kind = type(node).__name__
+                    if wanted is None or kind in wanted:
+                        rows.append((repo, path, n, depth, kind, getattr(node, "lineno", None), getattr(node, "col_offset", None), getattr(node, "end_lineno", None)))
+                    n += 1
+                    todo += [(c, depth + 1) for c in reversed(list(ast.iter_child_nodes(node)))]
+            yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns if c not in ("repo_id", "file_path", "node_type")})
+
+    src = files.where(F.col("repo_id").isNotNull() & F.col("file_path").endswith(".py")).select("repo_id", "file_path", "content")
+    return src.mapInPandas(run, "repo_id string, file_path string, ord bigint, depth bigint, node_type string, start_line bigint, start_column bigint, end_line bigint")
+
+
 def _columns() -> list[str]:
     out, depth, at = [], 0, 0
     for i, ch in enumerate(SCHEMA):

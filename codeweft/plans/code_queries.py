@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeweft.functions.ids import entity_id
-from codeweft.operators.facts import extract_facts, table_of
+from codeweft.operators.analysis import analyze
+from codeweft.operators.facts import extract_facts, syntax_nodes, table_of
 from codeweft.operators.resolution import resolve_edges
 from codeweft.sources.tables import table
 
@@ -55,5 +56,34 @@ def c_span_check(spark: SparkSession, d: str) -> DataFrame:
     return last.join(read, "id", "left").groupBy("repo_id", state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (c_definitions, c_imports, c_files, c_edges, c_edge_counts, c_span_check)}
+def c_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of all seven kinds of the current files."""
+    return analyze(current_python(spark, d))[0]
+
+
+def c_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges whose two ends are among them."""
+    return analyze(current_python(spark, d))[1]
+
+
+def c_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return analyze(current_python(spark, d))[2]
+
+
+def c_syntax_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What of the current Python files does not parse, and where."""
+    return table_of(_facts(spark, d), "errors")
+
+
+def c_node_types(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the trees of the current files by type and repository."""
+    return syntax_nodes(current_python(spark, d)).groupBy("repo_id", "node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def c_error_handlers(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of two types: where errors are raised and caught."""
+    return syntax_nodes(current_python(spark, d), ["Raise", "ExceptHandler"]).select("repo_id", "file_path", "node_type", "start_line", "start_column")
+
+
+QUERIES = {f.__name__: f for f in (c_definitions, c_imports, c_files, c_edges, c_edge_counts, c_span_check, c_graph_nodes, c_graph_edges, c_analysis, c_syntax_errors, c_node_types, c_error_handlers)}
 ORACLES: dict[str, str] = {}

@@ -1,70 +1,56 @@
-"""Graph tables on disk: Parquet by repository, upserted without touching other repositories."""
+"""Graph tables on disk: Parquet by repository, written with Spark's dynamic partition overwrite."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeweft.operators.explore import upsert
+from codeweft.sources.tables import cut_lineage
 
-NODE_KEY, EDGE_KEY = ("id",), ("rel_type", "source_id", "target_id")
+KEYS = {"nodes": ("id",), "edges": ("rel_type", "source_id", "target_id"), "facts": ("file_path",)}
 
 
 class GraphStore:
-    """``nodes`` and ``edges`` under ``root``; each write is one version of the repositories it touches.
-
-    A version is a folder of its own, and the file ``current`` of a repository
-    names the version to read, written last: a job that dies leaves the old
-    state.  Rows are never removed; nulls replace nothing.
-    """
+    """Tables under ``root``, a partition for each repository; a write replaces the partitions of the repositories it touches."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self, table: str) -> DataFrame | None:
-        """(repo_id, version): the version to read of every repository."""
-        base = f"{self.root}/{table}/current"
-        if not self._fs.exists(self._path(base)):
-            return None
-        return self.spark.read.schema("repo_id string, version string, at bigint").json(base).groupBy("repo_id").agg(F.max_by("version", "at").alias("version"))
-
-    def read(self, table: str, repo_id: str | None = None) -> DataFrame | None:
-        now = self._current(table)
-        if now is None:
+    def read(self, table: str, repo_id: str | None = None, repos: DataFrame | None = None) -> DataFrame | None:
+        """The rows of a table, of one repository, or of those of ``repos`` (repo_id); None if it was never written."""
+        if not self._fs.globStatus(self._path(f"{self.root}/{table}/repo_id=*")):
             return None
-        if repo_id is not None:
-            now = now.where(F.col("repo_id") == repo_id)
-        versions = [r[0] for r in now.select("version").distinct().collect()]  # at most one for each write
-        if not versions:
-            return None
-        rows = self.spark.read.option("basePath", f"{self.root}/{table}/data").option("mergeSchema", "true").parquet(*[f"{self.root}/{table}/data/version={v}" for v in versions])
+        rows = self.spark.read.parquet(f"{self.root}/{table}").withColumn("repo_id", F.col("repo_id").cast("string"))
         if repo_id is not None:
             rows = rows.where(F.col("repo_id") == repo_id)
-        return rows.join(now, ["repo_id", "version"], "left_semi").drop("version")
+        return rows if repos is None else rows.join(repos.select("repo_id").distinct(), "repo_id", "left_semi")
+
+    def replace(self, table: str, rows: DataFrame, repos: DataFrame) -> None:
+        """The rows become all that the table has of the given repositories (repo_id)."""
+        rows = cut_lineage(rows)  # it may have been read from what is overwritten
+        gone = repos.select("repo_id").distinct().join(rows.select("repo_id").distinct(), "repo_id", "left_anti")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{self.root}/{table}")
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for r in gone.toLocalIterator():  # repositories without any row left
+            self._fs.delete(self._path(f"{self.root}/{table}/repo_id={escape(r[0])}"), True)
 
     def write(self, table: str, new: DataFrame) -> int:
-        """Upserts rows (unique by key, with repo_id); returns how many came in."""
-        key = NODE_KEY if table == "nodes" else EDGE_KEY
+        """Upserts rows (unique by key, with repo_id); nulls replace nothing; returns how many came in."""
         count = new.count()
         if not count:
             return 0
         repos = new.select("repo_id").distinct()
-        old = self.read(table)
-        k = F.concat_ws("\x01", *key)
-        rows = new.withColumn("_k", k)
+        k = F.concat_ws("\x01", *KEYS[table])
+        rows, old = new.withColumn("_k", k), self.read(table, repos=repos)
         if old is not None:
-            mine = old.join(repos, "repo_id", "left_semi").withColumn("_k", k)
+            mine = old.withColumn("_k", k)
             for c in new.columns:
                 if c not in mine.columns:
                     mine = mine.withColumn(c, F.lit(None).cast(new.schema[c].dataType))
             rows = upsert(mine, rows, "_k")
-        version = uuid.uuid4().hex
-        rows.drop("_k").write.partitionBy("repo_id").parquet(f"{self.root}/{table}/data/version={version}")
-        at = self.spark.sql("SELECT unix_micros(current_timestamp())").first()[0]
-        repos.select("repo_id", F.lit(version).alias("version"), F.lit(at).alias("at")).write.mode("append").json(f"{self.root}/{table}/current")
+        self.replace(table, rows.drop("_k"), repos)
         return count
 
 
@@ -73,5 +59,5 @@ def write_graph(store: GraphStore, nodes: DataFrame, edges: DataFrame) -> dict[s
     n = store.write("nodes", nodes)
     ids = store.read("nodes").select("id")
     kept = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    total, k = edges.count(), store.write("edges", kept.dropDuplicates(list(EDGE_KEY)))
+    total, k = edges.count(), store.write("edges", kept.dropDuplicates(list(KEYS["edges"])))
     return {"nodes": n, "edges": k, "skipped": total - k}

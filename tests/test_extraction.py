@@ -1,6 +1,10 @@
 """A small repository of our own, its entities and edges written out by hand."""
 
-from codeweft.operators.facts import extract_facts, file_facts, table_of
+import pytest
+from pyspark.sql import functions as F
+
+from codeweft.operators import analysis as an
+from codeweft.operators.facts import extract_facts, file_facts, syntax_nodes, table_of
 from codeweft.operators.resolution import resolve_edges
 from conftest import rows
 
@@ -108,6 +112,46 @@ def test_inheritance_over_three_levels_cycles_and_aliases(spark):
     assert e == {("repo::q::method::m.C.go", "repo::q::method::m.A.top")}
 
 
+def test_inner_blocks_are_read_and_errors_told(spark):
+    code = "class A:\n    def one(self):\n        return 1\n\n    def bad(self:\n        return 2\n\n    def two(self):\n        x = (\n        return x\n\n    def three(self):\n        if a b:\n            pass\n        return self.one()\n\n\ndef last(:\n    pass\n\n\ndef fine(): return A()\n"
+    f = file_facts("repo::r", "m.py", code)
+    assert [d["qname"] for d in f["defs"]] == ["m.A", "m.A.one", "m.A.two", "m.A.three", "m.fine"] and f["has_syntax_errors"]
+    assert [(d["start_line"], d["end_line"]) for d in f["defs"] if d["qname"] == "m.A.three"] == [(12, 15)]
+    assert sorted(e["start_line"] for e in f["errors"]) == [5, 9, 13, 18] and {e["node_type"] for e in f["errors"]} >= {"ERROR", ")"}
+    assert {(c["caller"], c["name"]) for c in f["calls"]} == {("m.A.three", "one"), ("m.fine", "A")}
+    df = spark.createDataFrame([("repo::r", "m.py", code), ("repo::r", "n.py", "x = 1\n")], "repo_id string, file_path string, content string")
+    assert table_of(extract_facts(df), "errors").count() == 4
+
+
+def test_trees_are_walked_parents_first(spark):
+    df = spark.createDataFrame([("repo::r", "m.py", "def f():\n    return g(1)\nx = 2\n")], "repo_id string, file_path string, content string")
+    every = [(r.node_type, r.depth) for r in syntax_nodes(df).orderBy("ord").collect()]
+    assert every == [("Module", 0), ("FunctionDef", 1), ("arguments", 2), ("Return", 2), ("Call", 3), ("Name", 4), ("Load", 5), ("Constant", 4), ("Assign", 1), ("Name", 2), ("Store", 3), ("Constant", 2)]
+    assert [(r.node_type, r.start_line) for r in syntax_nodes(df, ["Call", "Assign"]).orderBy("ord").collect()] == [("Call", 2), ("Assign", 3)]
+
+
+def test_analysis_has_all_kinds_of_entities(spark):
+    nodes, edges, told = an.analyze(frame(spark))
+    labels = {r.label: r.n for r in nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert labels == {"Repository": 1, "File": 6, "Module": 6, "Class": 3, "Function": 5, "Method": 6, "Import": 6}
+    assert {(r.rel_type, r.n) for r in edges.groupBy("rel_type").agg(F.count(F.lit(1)).alias("n")).collect()} == {("CALLS", 13), ("CONTAINS", 20), ("IMPORTS", 3), ("INHERITS", 1)}
+    assert rows(told) == [("repo::r", 6, 6, 3, 5, 6, 6, 37)]
+
+
+def test_made_edges_and_chosen_sources(spark):
+    e = "rel_type string, source_id string, target_id string, metadata map<string,string>"
+    ok = spark.createDataFrame([(" calls ", " a ", "b", None), ("IMPORTS", "a", "c", {"k": "v"})], e)
+    assert rows(an.relationships(ok), "rel_type", "source_id", "target_id") == [("CALLS", "a", "b"), ("IMPORTS", "a", "c")] and [r.metadata for r in an.calls(ok).collect()] == [{}, {"k": "v"}]
+    for bad in (("LIKES", "a", "b", None), ("CALLS", " ", "b", None), ("CALLS", "a", None, None)):
+        with pytest.raises(Exception, match="unknown relationship type|blank"):
+            an.relationships(spark.createDataFrame([bad], e)).collect()
+    with pytest.raises(ValueError):
+        an.relationships(ok, "LIKES")
+    f = "repo_id string, file_path string, content string"
+    one, two = spark.createDataFrame([("r", "a.py", "1")], f), spark.createDataFrame([("r", "a.py", "2"), ("r", "b.py", "3")], f)
+    assert rows(an.chosen_sources(one, None, two)) == [("r", "a.py", "1"), ("r", "b.py", "3")]
+
+
 def test_odd_files():
     for text in ("", "# only a comment", "﻿x = 1\r\n", "\x00", "(" * 500, "def f(:\n"):
         f = file_facts("repo::r", "a.py", text)
