@@ -320,6 +320,17 @@ def _term_mask(terms: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _near(said: list[str], known: set[str], double: bool) -> bool:
+    """Do two known words, not both with a capital, stand so that they can be a name? What may stand between them: particles, initials, and in double names anything."""
+    last = -1
+    for i, w in enumerate(said):
+        if w in known:
+            if last >= 0 and not (w[0].isupper() and said[last][0].isupper()) and (double or all(len(x) == 1 or x.lower() in _PARTICLES for x in said[last + 1 : i])):
+                return True
+            last = i
+    return False
+
+
 def _small_candidates(mask: bytes):
     """Pairs of words of the mask that do not both begin with a capital; the mask takes some other words too."""
 
@@ -333,13 +344,14 @@ def _small_candidates(mask: bytes):
         for b in batches:
             rows = []
             for th, text in zip(b["th"], b["_text"]):
-                words = set(_WORD.findall(text))
+                said = _WORD.findall(text)
+                words = set(said)
                 fresh = words - known - other
                 if fresh:
                     yes = {w for w in fresh if hit(fold(w))}
                     known |= yes
                     other |= fresh - yes
-                if len(words & known) > 1:
+                if len(words & known) > 1 and _near(said, known, "-" in text):
                     for s, e, given, family in name_pairs(text, shaped(text), True):
                         g, f = fold(given.split("-")[0]), _family_terms(family)[0]
                         if hit(g) and hit(f):
