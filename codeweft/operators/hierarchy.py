@@ -9,6 +9,8 @@ from codeweft.sources.tables import cut_lineage
 
 #: Parents with this share of all links and no parent of their own are told before the joins; at most 1/share of them.
 HOT_SHARE = 0.01
+#: Rows that one task takes without trouble, and that may be broadcast.
+MAX_HOT_ROWS = 200_000
 
 
 def parent_links(edges: DataFrame) -> DataFrame:
@@ -29,6 +31,24 @@ def hot_roots(links: DataFrame) -> list[str]:
     return [x for x in hot if x not in below]
 
 
+def _meet(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left and right joined on ``key``; keys with HOT_SHARE of the left rows are set apart.
+
+    These are inner nodes with much below them: there are at most 1/HOT_SHARE of
+    them, and their rows on the right are broadcast if there are no more than
+    MAX_HOT_ROWS; beyond that all rows are shuffled.
+    """
+    total = left.count()
+    if total < MAX_HOT_ROWS:  # no key can weigh on a task
+        return left.join(right, key)
+    hot = [r[0] for r in left.groupBy(key).count().where(F.col("count") >= HOT_SHARE * total).select(key).collect()]
+    few = right.where(F.col(key).isin(hot)) if hot else None
+    if few is None or few.limit(MAX_HOT_ROWS + 1).count() > MAX_HOT_ROWS:
+        return left.join(right, key)
+    set_apart = left.where(F.col(key).isin(hot)).join(F.broadcast(few), key)
+    return left.where(~F.col(key).isin(hot)).join(right, key).unionByName(set_apart)
+
+
 def _endless(links: DataFrame) -> DataFrame:
     """(node): nodes from which walks along child -> parent never end.
 
@@ -40,7 +60,7 @@ def _endless(links: DataFrame) -> DataFrame:
     jump = links.where(~F.col("parent").isin(hot_roots(links))).select(F.col("child").alias("a"), F.col("parent").alias("b"))
     left = None
     while True:
-        nxt = jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
+        nxt = _meet(jump, jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
         jump = cut_lineage(nxt)
         now = jump.select("a").distinct().count()
         if not now or now == left:
@@ -53,26 +73,49 @@ def _inside(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent")
 
 
+def _outside(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links neither end of which is among the nodes."""
+    rest = links.join(nodes.select(F.col("node").alias("child")), "child", "left_anti")
+    return rest.join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select("child", "parent")
+
+
+def _rings(one: DataFrame) -> DataFrame:
+    """(child, parent) of the links of ``one``, which has one parent for each child, that lie on its cycles.
+
+    Where pointers lead after ever more steps are in the end the nodes on cycles:
+    doubling them until there are no fewer of these.
+    """
+    ptr, before = one.select(F.col("child").alias("node"), F.col("parent").alias("ptr")), None
+    while True:
+        ends = ptr.select(F.col("ptr").alias("node")).distinct()
+        now = ends.count()
+        if now == before:
+            return _inside(one, ends)
+        before = now
+        ptr = cut_lineage(_meet(ptr, ptr.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2")), "ptr").select("node", F.col("ptr2").alias("ptr")))
+
+
 def cycle_nodes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((node, cycle_id) of the nodes on a cycle, links among nodes on or under cycles)."""
     under = cut_lineage(_inside(links, _endless(links)))
-    # On a cycle, or between two cycles: endless downwards too.
-    core_nodes = _endless(under.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
-    core = cut_lineage(_inside(under, core_nodes))
-    if core.groupBy("child").count().where("count > 1").limit(1).count():
-        # A cycle hangs below another one: keep the links whose ends reach each other (closure of the core by doubling).
-        reach = core.select(F.col("child").alias("a"), F.col("parent").alias("b"))
-        before = -1
-        while True:
-            reach = cut_lineage(reach.union(reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", "c")).distinct())
-            n = reach.count()
-            if n == before:
-                break
-            before = n
-        back = reach.select(F.col("b").alias("child"), F.col("a").alias("parent"))
-        core = cut_lineage(core.join(back, ["child", "parent"], "left_semi"))
+    rest, rings = under, None
+    while True:
+        # On a cycle, or between two cycles: endless downwards too.
+        core = cut_lineage(_inside(rest, _endless(rest.select(F.col("parent").alias("child"), F.col("child").alias("parent")))))
+        if not core.limit(1).count():
+            break
+        if not core.groupBy("child").count().where("count > 1").limit(1).count():
+            rings = core if rings is None else rings.unionByName(core)
+            break
+        # A cycle hangs below another one.  With one parent for each node some cycles stay whole, at least those that hang below
+        # no other; they are taken out, and the rest is looked at again.
+        ring = cut_lineage(_rings(cut_lineage(core.groupBy("child").agg(F.min("parent").alias("parent")))))
+        rings = ring if rings is None else rings.unionByName(ring)
+        rest = _outside(core, ring.select(F.col("child").alias("node")))
+        rest = cut_lineage(_inside(rest, _endless(rest)))
+    rings = cut_lineage(rings) if rings is not None else under.limit(0)
     # Now each node has one parent and each component is one cycle: least id by doubling pointers.
-    ptr = core.select(F.col("child").alias("node"), F.col("parent").alias("ptr"), F.least("child", "parent").alias("low"))
+    ptr = rings.select(F.col("child").alias("node"), F.col("parent").alias("ptr"), F.least("child", "parent").alias("low"))
     before = None
     while True:
         hop = ptr.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
@@ -92,7 +135,7 @@ def cycle_members(links: DataFrame) -> DataFrame:
     from an id to itself is a cycle of one.  A node under several cycles gets a
     row for each.  No cycles, or no links: no rows.
     """
-    links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
+    links = cut_lineage(links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()))  # read several times
     on, under = cycle_nodes(links)
     on = cut_lineage(on)
     rep_c = on.select(F.col("node").alias("child"), F.col("cycle_id").alias("rc"))
@@ -107,7 +150,7 @@ def cycle_members(links: DataFrame) -> DataFrame:
     open_left, pairs = up.where("not hit").limit(1).count(), -1
     while True:
         nxt = up.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("hit").alias("hit2"))
-        step = up.join(nxt, "b").select("a", F.col("c").alias("b"), F.col("hit2").alias("hit"))
+        step = _meet(up, nxt, "b").select("a", F.col("c").alias("b"), F.col("hit2").alias("hit"))
         up = cut_lineage(up.where("hit").union(step).distinct())
         n, open_left = up.count(), up.where("not hit").limit(1).count()
         if not open_left and n == pairs:
@@ -129,7 +172,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
     have no root and are left out here; ``all_paths`` has them too.  A node
     with several parents has a row for each path.  Empty input: no rows.
     """
-    links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
+    links = cut_lineage(links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()))  # read several times
     endless = cut_lineage(_endless(links))
     roots = links.select(F.col("parent").alias("node")).distinct().join(links.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
     return _paths(links.join(endless.withColumnRenamed("node", "child"), "child", "left_anti"), roots, F.col("parent").isin(hot_roots(links)))
@@ -142,7 +185,7 @@ def _paths(links: DataFrame, roots: DataFrame, hot: Column) -> DataFrame:
     while True:
         up = state.select(F.col("node_id").alias("top"), F.col("top").alias("top2"), F.col("path").alias("path2"), F.col("done").alias("done2"))
         moved = (
-            state.where("not done").join(up, "top")
+            _meet(state.where("not done"), up, "top")
             .select("node_id", F.col("top2").alias("top"), F.concat("path2", F.slice("path", F.lit(2), F.size("path"))).alias("path"), F.col("done2").alias("done"))
         )
         state = cut_lineage(state.where("done").union(moved))

@@ -1,8 +1,8 @@
 """References to records that do not exist (problem 2).
 
 A register-blocked Bloom filter of all parent keys, kept as a table of 64-bit
-words and probed by one broadcast equi-join, proves most dangling references
-without a shuffle.  Filter-positive references are verified by an exact
+words and probed by one equi-join, a broadcast one up to some four million keys,
+proves most dangling references.  Filter-positive references are verified by an exact
 anti-join on key and lifetime.
 """
 
@@ -12,8 +12,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: The filter has at most this many 64-bit words, whatever the data: about 40 MB when broadcast (10 MB measured for a quarter).
-MAX_BLOOM_WORDS = 1 << 20
+#: The filter is broadcast up to this many 64-bit words, about 40 MB (10 MB measured for a quarter); beyond it references and words meet by a shuffle.
+MAX_BROADCAST_WORDS = 1 << 20
 BITS_PER_KEY = 16
 #: Keys with at least this share of all references are salted in the exact join; there can be at most 1/share of them.
 HOT_SHARE = 0.005
@@ -35,9 +35,9 @@ def _mask(key: Column) -> Column:
 
 
 def bloom_words(n_keys: int) -> int:
-    """Words for n_keys at BITS_PER_KEY, a power of two, at most MAX_BLOOM_WORDS."""
+    """Words for n_keys at BITS_PER_KEY, a power of two: the filter grows with the keys, so it proves as much at any size."""
     want = max(1, n_keys * BITS_PER_KEY // 64)
-    return min(MAX_BLOOM_WORDS, 1 << max(6, math.ceil(math.log2(want))))
+    return 1 << max(6, math.ceil(math.log2(want)))
 
 
 def bloom_filter(keys: DataFrame, key: str, words: int) -> DataFrame:
@@ -85,16 +85,20 @@ def dangling_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
         .agg(F.min("observed_at").alias("n_from"))
     )
     words = bloom_words(nodes.count())
-    bloom = bloom_filter(nodes, "id", words)
+    bloom = bloom_filter(nodes, "id", words).withColumnRenamed("word", "_word")
     cols = refs.columns
-    probed = (
-        refs.withColumn("_word", _word(F.col("ref_id"), words))
-        .join(F.broadcast(bloom.withColumnRenamed("word", "_word")), "_word", "left")  # at most MAX_BLOOM_WORDS rows
-        .withColumn("_maybe", F.coalesce(F.col("bits").bitwiseAND(_mask(F.col("ref_id"))) == _mask(F.col("ref_id")), F.lit(False)))
-    )
+    hot = hot_keys(refs, "ref_id")
+    asked = refs.withColumn("_word", _word(F.col("ref_id"), words))
+    if words <= MAX_BROADCAST_WORDS:
+        met = asked.join(F.broadcast(bloom), "_word", "left")
+    else:  # hot keys would all meet the same word: they are verified without being asked
+        cold = asked.where(~F.col("ref_id").isin(hot)) if hot else asked
+        met = cold.join(bloom, "_word", "left")
+        if hot:
+            met = met.unionByName(asked.where(F.col("ref_id").isin(hot)).withColumn("bits", F.lit(-1).cast("bigint")))
+    probed = met.withColumn("_maybe", F.coalesce(F.col("bits").bitwiseAND(_mask(F.col("ref_id"))) == _mask(F.col("ref_id")), F.lit(False)))
     absent = probed.where(~F.col("_maybe")).select(*cols)
 
-    hot = hot_keys(refs, "ref_id")
     salt = F.pmod(F.xxhash64("observed_at", *(["edge_id"] if "edge_id" in cols else [])), F.lit(SALTS)).cast("int")
     maybe = probed.where("_maybe").select(*cols)
     if hot:

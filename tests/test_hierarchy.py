@@ -124,3 +124,12 @@ def test_every_id_of_random_forests_with_loops(spark):
 
 def test_every_id_of_no_links(spark):
     assert hi.all_paths(links(spark, [])).count() == hi.all_descendants(links(spark, [])).count() == 0
+
+
+def test_hot_inner_nodes_are_set_apart(spark, monkeypatch):
+    monkeypatch.setattr(hi, "MAX_HOT_ROWS", 50)
+    links = [("top", "root"), ("hot", "top")] + [(f"n{i}", "hot") for i in range(300)] + [(f"m{i}", f"n{i}") for i in range(100)] + [("x", "y"), ("y", "x")] + [(f"z{i}", "x") for i in range(200)]
+    df = spark.createDataFrame(links, "child string, parent string")
+    got = {r.node_id: (r.root_id, r.depth) for r in hi.hierarchy(df).collect()}
+    assert len(got) == 403 and got["m7"] == ("root", 4) and got["n299"] == ("root", 3)
+    assert {r.node_id for r in hi.cycle_members(df).collect()} == {"x", "y", *(f"z{i}" for i in range(200))}

@@ -52,8 +52,16 @@ def test_hot_key_is_salted_and_whole(spark):
     assert _case(spark, edges, nodes) == brute(edges, nodes)
 
 
+def test_a_filter_too_large_to_broadcast_is_met_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(rf, "MAX_BROADCAST_WORDS", 8)
+    assert _case(spark, EDGES, NODES) == brute(EDGES, NODES)
+    edges = [(i, "CALLS", "hot" if i % 3 else f"k{i % 7}", "hot", T[i % 11], "s") for i in range(500)]
+    nodes = [("hot", T[3], T[6], None)] + [(f"k{i}", T[i], None, None) for i in range(5)]
+    assert _case(spark, edges, nodes) == brute(edges, nodes)
+
+
 def test_bloom_is_bounded_and_never_denies_a_key(spark):
-    assert rf.bloom_words(0) == 64 and rf.bloom_words(10**12) == rf.MAX_BLOOM_WORDS
+    assert rf.bloom_words(0) == 64 and rf.bloom_words(10**9) == 1 << 28
     keys = spark.range(5000).select(F.col("id").cast("string").alias("k"))
     words = rf.bloom_words(5000)
     b = rf.bloom_filter(keys, "k", words)
