@@ -55,8 +55,8 @@ def incident(edges: DataFrame, center: str, direction: str = "both", types: list
     return e.withColumn("neighbor", F.when(out, F.col("target_id")).otherwise(F.col("source_id")))
 
 
-def neighbor_counts(edges: DataFrame, center: str) -> DataFrame:
-    return incident(edges, center).agg(
+def neighbor_counts(edges: DataFrame, center: str, direction: str = "both") -> DataFrame:
+    return incident(edges, center, direction).agg(
         F.count(F.lit(1)).alias("total_relationships"), F.count_distinct(F.when(F.col("neighbor") != center, F.col("neighbor"))).alias("total_neighbors"))
 
 

@@ -28,9 +28,13 @@ def all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a folder of our own is set.
+    Only where that setting is absent on one machine (tests) a folder of our own is
+    set; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
