@@ -173,6 +173,30 @@ def _py_list(body: str) -> str:
     return "q"
 
 
+def _py_close(sign: str, body: str, before: str, pattern: bool) -> tuple[str, str]:
+    """(goal, character left) of a bracketed part; no goal: it derives, as its kind was told by a grammar. before: the last tokens before it."""
+    last = before[-1:]
+    if pattern:
+        return {"(": ("pat_args", "u") if last == "N" else ("pat_seq", "p"), "[": ("pat_seq", "q"), "{": ("pat_map", "b")}[sign]
+    if sign == "(":
+        if last and last in _PY_ATOM_END:
+            defined = before[-2:-1] == "d" or (last == "§" and before[-3:-2] == "d")
+            return ("params", "m") if defined else ("args", "u")
+        if last == "I":
+            return "names", "o"
+        if last == "h" and "s" in body and not PYTHON.accepts("paren", body):
+            return "withs", "p"
+        kind = _py_paren(body)
+        return ("paren" if kind == "p" else "", kind)
+    if sign == "[":
+        if last and last in _PY_ATOM_END:
+            named = last == "N" and len(before) > 1 and before[-2] in "dcX"
+            return ("typeparams", "§") if named else ("index", "v")
+        kind = _py_list(body)
+        return ("list" if kind == "q" else "", kind)
+    return "braces", "b"
+
+
 def _f_fields(text: str, at: int, out: list[tuple[int, int]]) -> int:
     """The end of the f-string that begins at ``at``; its replacement fields go to ``out``. -1: it is none."""
     m = _F_OPEN.match(text, at)
@@ -269,22 +293,30 @@ def _width(blanks: str) -> tuple[int, int]:
 
 
 def python_segments(text: str, quick: bool = False) -> list[Segment]:
-    """Segments of a Python file: one per bracketed part, statement line and block; with ``quick`` the places are only counted."""
+    """Segments of a Python file: one per bracketed part, statement line and block; with ``quick`` the places are not told."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     first = 1 if text[:1] == "﻿" else 0
     out: list[Segment] = []
-    lines = _python_lines(text, first, len(text), out, False, quick)
+    lines = _quick_lines(text, first, out) if quick else None
+    if lines is None:
+        out.clear()
+        lines = _python_lines(text, first, len(text), out, False)
     _python_blocks(lines, out)
     if "\0" in text:
         out.append(("simple", "?", [text.index("\0")]))
     return out
 
 
-def _quick_tokens(text: str, at: int, end: int, out: list[Segment]):
-    """Tokens without their places, by number; None if places are needed to tell them."""
-    if ("match" in text or "case" in text or "type" in text) and _SOFT_LINE.search(text, at, end):
+_PIECES = re.compile(r"[^()\[\]{}\n]+|.", re.S)
+_SIDE_BY_SIDE = re.compile(r"([Sβ])\1+")
+_NAMES_ONLY = str.maketrans("MKX", "NNN")
+
+
+def _quick_lines(text: str, at: int, out: list[Segment]) -> list | None:
+    """What ``_python_lines`` gives of a file, without places; None if it takes these to tell: brackets without a partner, match, case and type."""
+    if ("match" in text or "case" in text or "type" in text) and _SOFT_LINE.search(text, at):
         return None
-    tokens = _PY_QUICK.findall(text, at, end)
+    tokens = _PY_QUICK.findall(text, at)
     if "f'" in text or 'f"' in text or "F" in text or "fr" in text or "fR" in text:
         for t in [t for t in tokens if t[0] in "fFrR" and t[-1] in "'\""]:
             if _F_OPEN.match(t):
@@ -295,12 +327,49 @@ def _quick_tokens(text: str, at: int, end: int, out: list[Segment]):
                         return None
                     parts = []
                     for a, b in fields:
-                        _python_lines(t, a, b, parts, True, False)
+                        _python_lines(t, a, b, parts, True)
                     if len(_F_MEMO) > 50_000:
                         _F_MEMO.clear()
                     _F_MEMO[t] = parts
                 out += parts
-    return enumerate(tokens)
+    breaks = iter([t for t in tokens if t[0] == "\n"])
+    shape = "".join(map(_PY.__getitem__, tokens)).translate(_NAMES_ONLY)
+    if "SS" in shape or "ββ" in shape:
+        shape = _SIDE_BY_SIDE.sub(r"\1", shape)
+    lines: list = []
+    frames: list[tuple[str, str]] = []
+    cur, blanks = "", text[at : len(text) - len(text[at:].lstrip(" \t\f"))]
+    for piece in _PIECES.findall(shape):
+        c = piece[0]
+        if c == "\n":
+            if frames:
+                cur += c
+                next(breaks)
+            else:
+                if cur:
+                    _python_line(cur, range(len(cur)), _width(blanks), out, lines)
+                    cur = ""
+                blanks = next(breaks)[1:]
+        elif c in "([{":
+            frames.append((c, cur))
+            cur = ""
+        elif c in ")]}":
+            if not frames or _CLOSE[frames[-1][0]] != c:
+                return None
+            sign, outer = frames.pop()
+            if "\n" in cur:
+                cur = _SIDE_BY_SIDE.sub(r"\1", cur.replace("\n", ""))
+            goal, kind = _py_close(sign, cur, outer[-60:].replace("\n", "")[-3:], False)
+            if goal:
+                out.append((goal, cur, []))
+            cur = outer + kind
+        else:
+            cur += piece
+    if frames:
+        return None
+    if cur:
+        _python_line(cur, range(len(cur)), _width(blanks), out, lines)
+    return lines
 
 
 #: Segments of the fields of f-strings seen.
@@ -316,7 +385,7 @@ def _placed_tokens(text: str, at: int, end: int, out: list[Segment]):
             stop = _f_fields(text, pos, fields)
             if 0 < stop <= end:
                 for a, b in fields:
-                    _python_lines(text, a, b, out, True, False)
+                    _python_lines(text, a, b, out, True)
                 yield pos, text[pos:stop] if stop - pos < 400 and "\n" not in text[pos:stop] else "f''"
                 pos = stop
                 continue
@@ -329,7 +398,7 @@ def _placed_tokens(text: str, at: int, end: int, out: list[Segment]):
         pos = m.end()
 
 
-def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool, quick: bool) -> list[tuple[tuple[int, int], str, bool, int]]:
+def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool) -> list[tuple[tuple[int, int], str, bool, int]]:
     """Lexes text[at:end]; its segments go to ``out``. Gives (indentation, kind, opens a block, offset) per statement line; a field is one expression."""
     widths: list[tuple[int, int]] = []
     known: dict[tuple[int, int], str] = {}
@@ -341,10 +410,6 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool,
             widths.append(w)
         return known[w]
 
-    tokens = _quick_tokens(text, at, end, out) if quick else None
-    if tokens is None:
-        tokens = _placed_tokens(text, at, end, out)
-
     lines: list[tuple[tuple[int, int], str, bool, int]] = []
     cur: list[str] = []
     off: list[int] = []
@@ -393,7 +458,7 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool,
                 off.append(o)
 
     classes = _PY
-    for pos, tok in tokens:
+    for pos, tok in _placed_tokens(text, at, end, out):
         c = classes[tok]
         if c in _PY_PLAIN:
             cur.append(c)
@@ -440,31 +505,7 @@ def _python_lines(text: str, at: int, end: int, out: list[Segment], field: bool,
                 if len(merged) < len(cur):
                     cur, off = [cur[j] for j in merged], [off[j] for j in merged]
             body = "".join(cur)
-            before = outer_c[-1] if outer_c else ""
-            if before >= _FIRST_INDENT:
-                before = next((x for x in reversed(outer_c) if x < _FIRST_INDENT), "")
-            if pattern:
-                goal, kind = {"(": ("pat_args", "u") if before == "N" else ("pat_seq", "p"), "[": ("pat_seq", "q"), "{": ("pat_map", "b")}[o]
-            elif o == "(":
-                if before in _PY_ATOM_END and before:
-                    defined = outer_c[-2:-1] == ["d"] or (before == "§" and outer_c[-3:-2] == ["d"])
-                    goal, kind = ("params", "m") if defined else ("args", "u")
-                elif before == "I":
-                    goal, kind = "names", "o"
-                elif before == "h" and "s" in body and not PYTHON.accepts("paren", body):
-                    goal, kind = "withs", "p"
-                else:
-                    kind = _py_paren(body)
-                    goal = "paren" if kind == "p" else ""
-            elif o == "[":
-                if before in _PY_ATOM_END and before:
-                    named = before == "N" and outer_c[-2:-1] and outer_c[-2] in "dcX"
-                    goal, kind = ("typeparams", "§") if named else ("index", "v")
-                else:
-                    kind = _py_list(body)
-                    goal = "list" if kind == "q" else ""
-            else:
-                goal, kind = "braces", "b"
+            goal, kind = _py_close(o, body, "".join(x for x in outer_c[-60:] if x < _FIRST_INDENT)[-3:], pattern)
             if goal:
                 out.append((goal, body, off or [p]))
             cur, off = outer_c, outer_o

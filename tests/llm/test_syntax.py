@@ -158,6 +158,15 @@ def test_library_files_changed_anywhere_agree_with_the_reader():
             assert syntax.parses("python", t) == (edits("python", t) == 0), (f, t)
 
 
+def test_segments_without_places_are_the_same():
+    cut = SEGMENTERS["python"][1]
+    texts = [t for d in (GOOD, MORE_GOOD, BAD, MORE_BAD) for t in d["python"]] + [open(f, encoding="utf-8").read() for f in sorted(glob.glob(sysconfig.get_paths()["stdlib"] + "/*.py"))[:40]]
+    for t in texts:
+        assert sorted(x[:2] for x in cut(t, True)) == sorted(x[:2] for x in cut(t)), t[:200]
+    for goal, shape, places in cut(texts[-1]):
+        assert len(places) == len(shape) or not shape
+
+
 def test_shortened_shapes_derive_alike():
     rnd = random.Random(5)
     for lang, goal, parts in (("py", "args", ["N", "N=N", "*N", "PN", "N N"]), ("py", "params", ["N", "N=N", "*N", "*", "PN", "/"]), ("py", "braces", ["N", "N:N", "*N", "PN", "LN:N"]), ("js", "array_pattern", ["N", "", "ZN", "N=0"]), ("js", "params", ["N", "N=0", "ZN", "3"])):
