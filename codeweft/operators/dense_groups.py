@@ -1,10 +1,11 @@
 """Per-key results when a few keys hold most records (problem 4).
 
-Every input split encodes its keys to dense codes and accumulates into numpy
-arrays (bincount for sums, a scatter-maximum for the newest row).  A split sends
-at most one entry per key, however many rows that key has, so a hot key weighs
-no more in the shuffle than any other; the entries are then added up by a
-distributed aggregation.
+One dictionary numbers the frequent keys.  Every input split encodes its rows with
+it and adds into dense numpy arrays (bincount for sums, a scatter-maximum for the
+newest row); the arrays are sent on as blocks, one a split, and the blocks are
+summed by a distributed reduction.  Keys that are in no dictionary are
+accumulated in a dictionary of the split and added up as single entries.  So a
+split sends at most one number per key, however many rows that key has.
 """
 
 from __future__ import annotations
@@ -16,8 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from codeweft.sources.tables import cut_lineage
+
 #: Slots of one accumulator block; a block that is full is sent on and begun anew, which bounds a task's memory.
 BLOCK_SLOTS = 1 << 16
+#: Keys in the dictionary of all splits, at most, and the share of a split's rows from which on a key is proposed for it.
+DICTIONARY_KEYS, PROPOSED_SHARE = 4096, 0.001
+#: Numbers in one block of an array.
+BLOCK_NUMBERS = 512
 
 
 class _Block:
@@ -56,6 +63,35 @@ class _Block:
         return pa.RecordBatch.from_arrays(cols, names=[key, *names])
 
 
+def frequent_keys(df: DataFrame, key: str) -> list[str]:
+    """The keys that weigh most in the splits where they are frequent, at most DICTIONARY_KEYS.
+
+    A key with PROPOSED_SHARE of all rows has that share in some split, so it is
+    proposed there; a split proposes at most 1/PROPOSED_SHARE keys (twice as many
+    where its counters had to be thinned).  Which keys get in matters for speed only.
+    """
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        total = lost = 0
+        for b in batches:
+            for k, n in zip(*(x.to_pylist() for x in pc.value_counts(b.column(0)).flatten())):
+                counts[k] = counts.get(k, 0) + n
+                total += n
+            if len(counts) > BLOCK_SLOTS:  # the least counters give way, all by as much
+                cut = int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), len(counts) // 2)[len(counts) // 2])
+                counts = {k: n - cut for k, n in counts.items() if n > cut}
+                lost += cut
+        kept = [(k, n) for k, n in counts.items() if n + lost >= PROPOSED_SHARE * total]
+        kept = sorted(kept, key=lambda x: (-x[1], x[0]))[: int(2 / PROPOSED_SHARE)]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["k", "n"])
+
+    proposed = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull()).mapInArrow(propose, "k string, n bigint")
+    top = proposed.groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(DICTIONARY_KEYS)
+    return [r[0] for r in top.collect()]
+
+
 def dense_group_stats(df: DataFrame, key: str, sums: dict[str, str | None], newest: str | None = None) -> DataFrame:
     """(key, one column per entry of ``sums``[, newest]) per non-null key.
 
@@ -66,30 +102,80 @@ def dense_group_stats(df: DataFrame, key: str, sums: dict[str, str | None], newe
     and maxima do not depend on order.
     """
     names = list(sums)
-    cols = [F.col(key).alias("_k")] + [F.col(c).cast("long").alias(f"_w{i}") for i, c in enumerate(sums.values()) if c]
+    cols = [F.col(key).cast("string").alias("_k")] + [F.col(c).cast("long").alias(f"_w{i}") for i, c in enumerate(sums.values()) if c]
     if newest:
         cols.append(F.col(newest).cast("long").alias("_new"))
     values = list(sums.values())
+    src = df.select(*cols).where(F.col("_k").isNotNull())
+    known = frequent_keys(src, "_k")
+    codes = {k: i for i, k in enumerate(known)}
+    least = int(np.iinfo(np.int64).min)
+    tops = ["_new"] if newest else []
+    # counts come last: keys without rows in a split are told by it
+    fields = [("_k", pa.string())] + [(n, pa.int64()) for n in [*names, *tops]] + [("_block", pa.int64()), ("_parts", pa.list_(pa.int64()))]
+    schema = pa.schema(fields)
 
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
+        width = len(names) + len(tops) + 1
+        dense = np.zeros((width, len(known)), np.int64)
+        if newest:
+            dense[len(names)] = least
+        rare = None
+
+        def entries(block: _Block) -> pa.RecordBatch:
+            out = block.flush([*names, *tops], "_k")
+            return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.int64()), pa.nulls(out.num_rows, pa.list_(pa.int64()))], schema=schema)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            block = block or _Block(len(names), bool(newest))
             at = lambda c, default: pc.fill_null(b.column(b.schema.get_field_index(c)), default).to_numpy(zero_copy_only=False)
             weights = [at(f"_w{i}", 0) if c else None for i, c in enumerate(values)]
-            block.add(b.column(0), weights, at("_new", int(np.iinfo(np.int64).min)) if newest else None)
-            if len(block.codes) >= BLOCK_SLOTS:
-                yield block.flush([*names, *(["_new"] if newest else [])], "_k")
-                block = None
-        if block:
-            yield block.flush([*names, *(["_new"] if newest else [])], "_k")
-
-    schema = ", ".join(["_k string"] + [f"`{n}` bigint" for n in names] + (["_new bigint"] if newest else []))
-    partial = df.select(*cols).where(F.col("_k").isNotNull()).mapInArrow(accumulate, schema)
-    aggs = [F.sum(n).alias(n) for n in names] + ([F.max("_new").alias("newest")] if newest else [])
-    return partial.groupBy(F.col("_k").alias(key)).agg(*aggs)
+            new = at("_new", least) if newest else None
+            enc = b.column(0).dictionary_encode()
+            to_code = np.fromiter((codes.get(k, -1) for k in enc.dictionary.to_pylist()), np.int64, len(enc.dictionary))
+            idx = to_code[enc.indices.to_numpy(zero_copy_only=False)]
+            hit = idx >= 0
+            if hit.any():
+                i = idx[hit]
+                for j, w in enumerate(weights):
+                    if w is None:
+                        dense[j] += np.bincount(i, minlength=len(known))
+                    else:
+                        np.add.at(dense[j], i, w[hit])  # exact in int64, unlike bincount's float weights
+                if newest:
+                    np.maximum.at(dense[len(names)], i, new[hit])
+                dense[-1] += np.bincount(i, minlength=len(known))
+            if not hit.all():
+                m = ~hit
+                rare = rare or _Block(len(names), bool(newest))
+                rare.add(b.column(0).filter(pa.array(m)), [None if w is None else w[m] for w in weights], new[m] if newest else None)
+                if len(rare.codes) >= BLOCK_SLOTS:
+                    yield entries(rare)
+                    rare = None
+        if rare:
+            yield entries(rare)
+        starts = [s for s in range(0, len(known), BLOCK_NUMBERS) if dense[-1, s : s + BLOCK_NUMBERS].any()]
+        if starts:
+            parts = [dense[:, s : s + BLOCK_NUMBERS].ravel().tolist() for s in starts]
+            none = [pa.nulls(len(starts), f.type) for f in list(schema)[:-2]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(starts, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], schema=schema)
+
+    ddl = ", ".join(["_k string"] + [f"`{n}` bigint" for n in [*names, *tops]] + ["_block bigint", "_parts array<bigint>"])
+    partial = cut_lineage(src.mapInArrow(accumulate, ddl))
+    single = partial.where("_block IS NULL").groupBy("_k").agg(*[F.sum(n).alias(n) for n in names], *[F.max(n).alias(n) for n in tops])
+    # Blocks meet number by number: every task adds up those it holds before they are sent on.
+    size = F.least(F.lit(BLOCK_NUMBERS), F.lit(len(known)) - F.col("_block"))
+    flat = partial.where("_block IS NOT NULL").select("_block", size.alias("_size"), F.posexplode("_parts").alias("_at", "_v"))
+    flat = flat.select((F.col("_block") + F.col("_at") % F.col("_size")).alias("code"), F.floor(F.col("_at") / F.col("_size")).cast("int").alias("row"), "_v")
+    row = lambda i: F.when(F.col("row") == i, F.col("_v"))
+    whole = flat.groupBy("code").agg(
+        *[F.sum(row(i)).alias(n) for i, n in enumerate(names)], *[F.nullif(F.max(row(len(names))), F.lit(least)).alias(n) for n in tops], F.sum(row(len(names) + len(tops))).alias("_rows")
+    ).where("_rows > 0")
+    spark = df.sparkSession
+    dictionary = F.broadcast(spark.createDataFrame(list(enumerate(known)), "code bigint, _k string"))  # at most DICTIONARY_KEYS rows
+    every = single.unionByName(whole.join(dictionary, "code").select("_k", *names, *tops))
+    return every.select(F.col("_k").alias(key), *names, *[F.col("_new").alias("newest") for _ in tops])
 
 
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:

@@ -1,6 +1,8 @@
 from collections import Counter
 from datetime import datetime as dt
 
+from pyspark.sql import functions as F
+
 from codeweft.operators import dense_groups as dg
 from conftest import rows
 
@@ -38,3 +40,19 @@ def test_key_stats(spark):
     got = {r.key: (r.n_rows, r.n_others, r.newest_us) for r in dg.key_stats(df, "key", "src", "at").collect()}
     assert got == {"a": (4, 2, int((t[2] - dt(1970, 1, 1)).total_seconds() * 1e6)), "b": (1, 0, None)}
     assert dg.key_stats(df.limit(0), "key", "src", "at").count() == 0
+
+
+def test_dictionary_blocks_and_single_entries_agree(spark, monkeypatch):
+    """Frequent keys over several blocks, rare keys beside them, counters that are thinned: as a plain aggregation."""
+    import random
+
+    rnd = random.Random(2)
+    data = [(f"k{min(int(rnd.expovariate(0.02)), 400)}" if rnd.random() < 0.7 else f"rare{i}", rnd.randrange(-5, 9) if rnd.random() < 0.9 else None, rnd.randrange(100) if rnd.random() < 0.5 else None) for i in range(6000)]
+    df = spark.createDataFrame(data, "k string, w bigint, t bigint").repartition(5)
+    want = rows(df.groupBy("k").agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0)), F.max("t")))
+    for keys, numbers, slots in ((4096, 512, 1 << 16), (40, 7, 64), (0, 512, 1 << 16)):
+        monkeypatch.setattr(dg, "DICTIONARY_KEYS", keys)
+        monkeypatch.setattr(dg, "BLOCK_NUMBERS", numbers)
+        monkeypatch.setattr(dg, "BLOCK_SLOTS", slots)
+        assert rows(dg.dense_group_stats(df, "k", {"n": None, "s": "w"}, "t")) == want
+    assert dg.frequent_keys(df.limit(0), "k") == []
